@@ -29,7 +29,7 @@ VIEWS = {
 }
 
 ATTRIBUTES = "type string, value string, startDate string, endDate string, sourceName string"
-OPENING_TAG = r"""^((?:\s*[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))+)\s*/?>"""
+OPENING_TAG = r"""^((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))+)\s*/?>"""
 
 
 def _records(raw: DataFrame) -> DataFrame:
@@ -55,9 +55,9 @@ def scan_health_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     one export is read by many tasks; the XML parser then sees one opening tag at a time,
     which holds all attributes.
     """
-    pieces = spark.read.option("lineSep", "<Record ").text(path)
+    pieces = spark.read.option("lineSep", "<Record").text(path)
     tag = F.regexp_extract("value", OPENING_TAG, 1)
-    element = F.concat(F.lit("<Record "), F.col("tag"), F.lit("/>"))
+    element = F.concat(F.lit("<Record"), F.col("tag"), F.lit("/>"))
     parsed = (
         pieces.select(tag.alias("tag"))
         .where(F.col("tag") != "")

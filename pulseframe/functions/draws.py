@@ -10,21 +10,11 @@ from pyspark.sql import functions as F
 
 def hashed_uniform(seed: int, *keys: Column) -> Column:
     """A number in (0, 1) made from 52 hash bits, offset by half a step so 0 cannot occur."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
-    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
-    return (bits + F.lit(0.5)) / F.lit(float(16**13))
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 12)
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def hashed_normal(seed: int, *keys: Column) -> Column:
     """A standard normal draw (Box-Muller over two hashed uniforms)."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(hashed_uniform(seed, F.lit("r"), *keys)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * hashed_uniform(seed, F.lit("a"), *keys))
-
-
-def interpolate(grid: Column, u: Column) -> Column:
-    """Value at quantile ``u`` of an ascending quantile grid with evenly spaced levels."""
-    steps = F.size(grid) - 1
-    place = u * steps
-    cell = F.least(F.floor(place).cast("int"), steps - 1)
-    low, high = F.get(grid, cell), F.get(grid, cell + 1)
-    return low + (high - low) * (place - cell)
+    radius = F.sqrt(F.lit(-2.0) * F.log(hashed_uniform(seed, F.lit(1), *keys)))
+    return radius * F.cos(F.lit(2.0 * math.pi) * hashed_uniform(seed, F.lit(2), *keys))

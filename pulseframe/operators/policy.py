@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.functions.draws import hashed_normal, hashed_uniform, interpolate
+from pulseframe.functions.draws import hashed_normal, hashed_uniform
 from pulseframe.functions.scalars import dot, one_decimal, or_else
 from pulseframe.operators.catalog import decorate, id_array, ids_of_intensity, ids_within
-from pulseframe.operators.posterior import as_vector, pair_names, posterior_mean, quantile_grids
+from pulseframe.operators.posterior import GRID_STEPS, as_vector, pair_names, posterior_mean, quantile_grids
 from pulseframe.operators.safety import with_allowed
 
 
@@ -35,9 +35,9 @@ def rule_policy(states: DataFrame) -> DataFrame:
     return states.withColumn("action_id", choice)
 
 
-def _best(score) -> Column:
-    """Arg-max of ``score`` over the allowed actions; the lowest id wins a tie."""
-    ranked = F.transform("allowed", lambda a: F.struct((-score(a)).alias("cost"), a.alias("id")))
+def _lowest_cost(entries: Column, score) -> Column:
+    """Id of the entry with the highest ``score``; the lowest id wins a tie, and 0 stands for none."""
+    ranked = F.transform(entries, lambda e: F.struct((-score(e)).alias("cost"), e["id"].alias("id")))
     return F.coalesce(F.array_min(ranked)["id"], F.lit(0))
 
 
@@ -50,17 +50,35 @@ def candidate_actions(states: DataFrame) -> DataFrame:
 def greedy(states: DataFrame, posterior: DataFrame) -> DataFrame:
     """Add the allowed action with the highest posterior mean."""
     scored = states.withColumn("_means", as_vector(posterior, posterior_mean()))
-    return scored.withColumn("action_id", _best(lambda a: F.col("_means")[a])).drop("_means")
+    means = F.transform("allowed", lambda a: F.struct(a.alias("id"), F.col("_means")[a].alias("mean")))
+    return scored.withColumn("action_id", _lowest_cost(means, lambda e: e["mean"])).drop("_means")
+
+
+def _key_columns(keys: list[str]) -> list[Column]:
+    return [F.col(k) for k in keys]
 
 
 def thompson(states: DataFrame, posterior: DataFrame, seed: int, keys: list[str]) -> DataFrame:
     """Add the allowed action with the highest draw from its Beta posterior.
 
     ``keys`` identify a decision; draws depend on the seed, the keys and the action only.
+    The grids are read in one place, which lets the optimizer keep them out of the rows.
     """
-    scored = states.withColumn("_grids", as_vector(quantile_grids(posterior), F.col("grid")))
-    draw = lambda a: interpolate(F.col("_grids")[a], hashed_uniform(seed, *[F.col(k) for k in keys], a))
-    return scored.withColumn("action_id", _best(draw)).drop("_grids")
+    grids = as_vector(quantile_grids(posterior), F.col("cells"))
+    places = F.transform(
+        "allowed",
+        lambda a: F.struct(a.alias("id"), (hashed_uniform(seed, *_key_columns(keys), a) * GRID_STEPS).alias("place")),
+    )
+    found = F.transform(
+        places,
+        lambda p: F.struct(
+            p["id"].alias("id"),
+            (p["place"] - F.floor(p["place"])).alias("within"),
+            F.get(F.col("_grids")[p["id"]], F.floor(p["place"]).cast("int")).alias("cell"),
+        ),
+    )
+    draw = lambda f: f["cell"]["low"] + f["within"] * f["cell"]["width"]
+    return states.withColumn("_grids", grids).withColumn("action_id", _lowest_cost(found, draw)).drop("_grids")
 
 
 def linear_thompson(
@@ -71,22 +89,24 @@ def linear_thompson(
     The sampled reward theta'x with theta ~ N(m, s^2 C) is itself normal with mean m'x and
     variance s^2 x'Cx, so one draw per decision and action replaces a draw of theta.
     """
-    scored = states.withColumns(
-        {
-            "_theta": as_vector(linear, F.col("theta")),
-            "_inverse": as_vector(linear, F.col("precision_inverse")),
-            "_pairs": F.array(
-                *[(1.0 if i == j else 2.0) * F.col("context")[i] * F.col("context")[j] for i, j in pair_names()]
-            ),
-        }
+    model = as_vector(linear, F.struct("theta", "precision_inverse"))
+    x = F.col("context")
+    pairs = F.array(*[(1.0 if i == j else 2.0) * x[i] * x[j] for i, j in pair_names()])
+    models = F.transform(
+        "allowed",
+        lambda a: F.struct(
+            a.alias("id"),
+            hashed_normal(seed, *_key_columns(keys), a).alias("z"),
+            F.col("_model")[a].alias("m"),
+        ),
     )
 
-    def sampled(a: Column) -> Column:
-        mean = dot(F.col("_theta")[a], F.col("context"))
-        variance = F.greatest(F.lit(0.0), dot(F.col("_inverse")[a], F.col("_pairs")))
-        return mean + sigma * F.sqrt(variance) * hashed_normal(seed, *[F.col(k) for k in keys], a)
+    def sampled(f: Column) -> Column:
+        variance = F.greatest(F.lit(0.0), dot(f["m"]["precision_inverse"], F.col("_pairs")))
+        return dot(f["m"]["theta"], x) + sigma * F.sqrt(variance) * f["z"]
 
-    return scored.withColumn("action_id", _best(sampled)).drop("_theta", "_inverse", "_pairs")
+    scored = states.withColumns({"_model": model, "_pairs": pairs})
+    return scored.withColumn("action_id", _lowest_cost(models, sampled)).drop("_model", "_pairs")
 
 
 def rationale() -> Column:

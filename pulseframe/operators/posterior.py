@@ -208,13 +208,18 @@ def beta_quantiles(alpha: float, beta: float, steps: int = GRID_STEPS) -> list[f
 
 
 def quantile_grids(posterior: DataFrame) -> DataFrame:
-    """Add ``grid``, the quantiles of each action's Beta posterior (18 rows)."""
+    """Add ``cells``, the quantile grid of each action's Beta posterior as (low, width) cells (18 rows)."""
 
     def grids(batches):
         for batch in batches:
             pairs = zip(batch["alpha"], batch["beta"], strict=True)
-            yield batch.assign(grid=[beta_quantiles(a, b) for a, b in pairs])
+            edges = [np.array(beta_quantiles(a, b)) for a, b in pairs]
+            cells = [
+                [{"low": float(low), "width": float(width)} for low, width in zip(e[:-1], np.diff(e), strict=True)]
+                for e in edges
+            ]
+            yield batch[["action_id"]].assign(cells=cells)
 
     return posterior.select("action_id", "alpha", "beta").mapInPandas(
-        grids, "action_id int, alpha double, beta double, grid array<double>"
+        grids, "action_id int, cells array<struct<low: double, width: double>>"
     )

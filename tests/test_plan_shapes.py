@@ -88,3 +88,9 @@ def test_filters_reach_the_scan(spark, folder):
 def test_posterior_is_reduced_before_its_shuffle(spark, folder):
     text = plan(pt.beta_posterior(with_reward(source(spark, folder, "fb")).where(F.col("action_id") >= 0)))
     assert "partial_sum" in text
+
+
+def test_sampling_keeps_the_model_out_of_the_rows(spark, folder):
+    """A model attached as a column of every row would be copied per row."""
+    for name, attached in (("thompson_decision", "_grids#"), ("linear_thompson_decision", "_model#")):
+        assert attached not in plan(queries()[name](spark, folder))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.operators.bounded import CHUNK_ROWS, small_side
+from pulseframe.operators.catalog import INTENSITY_RANK
 
 ROLLING = 50
 TAIL = 100
@@ -19,22 +20,31 @@ def is_optimal() -> Column:
     return F.col("action_id") == F.col("optimal_action_id")
 
 
+# Lowest readiness, highest fatigue (None for any), reference action and ideal
+# intensity; the first row that holds decides, otherwise both are 0.
+REFERENCE = ((70, 4, 8, 3), (55, 6, 13, 2), (40, None, 4, 1), (30, None, 1, 0))
+
+
+def _by_reference(value: int) -> Column:
+    """Column ``value`` of the first reference row that the state meets."""
+    readiness, fatigue = F.col("readiness_score"), F.col("fatigue")
+    met = lambda low, high: (readiness >= low) & (F.lit(True) if high is None else fatigue <= high)
+    return F.coalesce(*[F.when(met(row[0], row[1]), F.lit(row[value])) for row in REFERENCE], F.lit(0))
+
+
 def reference_policy() -> Column:
     """The action a fully informed coach would choose, from readiness and fatigue."""
-    r, f = F.col("readiness_score"), F.col("fatigue")
-    return F.when((r >= 70) & (f <= 4), 8).when((r >= 55) & (f <= 6), 13).when(r >= 40, 4).when(r >= 30, 1).otherwise(0)
+    return _by_reference(2)
 
 
 def with_intensity_mismatch(states: DataFrame) -> DataFrame:
     """Add ideal intensity, distance of the served ``intensity_rank`` from it, overtraining flag and base score."""
-    r, f = F.col("readiness_score"), F.col("fatigue")
-    ideal = F.when((r >= 70) & (f <= 4), 3).when((r >= 55) & (f <= 6), 2).when(r >= 40, 1).otherwise(0)
-    mismatch = F.abs(F.col("intensity_rank") - F.col("ideal_intensity"))
-    too_hard = (F.col("intensity_rank") == 3) & ((f > 7) | (r < 40))
+    hard = F.col("intensity_rank") == INTENSITY_RANK["HIGH"]
+    worn_out = (F.col("fatigue") > 7) | (F.col("readiness_score") < 40)
     penalty = F.when(F.col("overtraining"), 0.5).otherwise(0.0)
     return (
-        states.withColumn("ideal_intensity", ideal)
-        .withColumns({"mismatch": mismatch, "overtraining": too_hard})
+        states.withColumns({"ideal_intensity": _by_reference(3), "overtraining": hard & worn_out})
+        .withColumn("mismatch", F.abs(F.col("intensity_rank") - F.col("ideal_intensity")))
         .withColumn("base_score", 0.8 - 0.25 * F.col("mismatch") - penalty)
     )
 
@@ -74,7 +84,9 @@ def policy_uplift(metrics: DataFrame, baselines: list[str]) -> DataFrame:
     return metrics.select("policy", "mean_reward", *[over(b) for b in baselines])
 
 
-def rolling_reward(episodes: DataFrame, window: int = ROLLING, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def rolling_reward(
+    episodes: DataFrame, window: int = ROLLING, chunk_rows: int = CHUNK_ROWS, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Mean reward of the last ``window`` episodes of a policy.
 
     Episodes are cut into ranges of ``chunk_rows``. The last window - 1 rows of a range are
@@ -84,7 +96,7 @@ def rolling_reward(episodes: DataFrame, window: int = ROLLING, chunk_rows: int =
         raise ValueError("a range must hold at least one window")
     chunk = F.floor(F.col("episode") / chunk_rows)
     into_next = F.col("episode") % chunk_rows > chunk_rows - window
-    spread = episodes.select("policy", "episode", "reward").withColumn(
+    spread = episodes.select("policy", "episode", "reward", *keep).withColumn(
         "_chunk", F.explode(F.when(into_next, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
     )
     frame = Window.partitionBy("policy", "_chunk").orderBy("episode").rowsBetween(-(window - 1), 0)
@@ -97,16 +109,23 @@ def rolling_reward(episodes: DataFrame, window: int = ROLLING, chunk_rows: int =
 
 def convergence_episode(episodes: DataFrame, window: int = ROLLING, tail: int = TAIL) -> DataFrame:
     """First episode after ``window`` whose rolling reward reaches the lower quartile of the last
-    ``tail`` rolling values; the number of episodes when none does."""
-    rolling = rolling_reward(episodes, window).join(policy_sizes(episodes), "policy")
+    ``tail`` rolling values; the number of episodes when none does.
+
+    The quartile needs only the last tail + window episodes of a policy, so it is taken
+    from those before the pass over all episodes.
+    """
+    sized = episodes.join(policy_sizes(episodes), "policy")
+    ending = sized.where(F.col("episode") > F.col("n") - tail - window)
     target = (
-        rolling.where(F.col("episode") >= F.col("n") - tail)
+        rolling_reward(ending, window, keep=("n",))
+        .where(F.col("episode") >= F.col("n") - tail)
         .groupBy("policy")
-        .agg(F.percentile("rolling_reward", F.lit(0.25)).alias("target"))
+        .agg(F.percentile("rolling_reward", F.lit(0.25)).alias("target"), F.max("n").alias("n"))
     )
     reached = (F.col("episode") > window) & (F.col("rolling_reward") >= F.col("target"))
     return (
-        rolling.join(small_side(target), "policy")
+        rolling_reward(episodes, window)
+        .join(small_side(target), "policy")
         .groupBy("policy")
         .agg(
             F.max("target").alias("target"),

@@ -101,29 +101,41 @@ def linear_thompson(
         ),
     )
 
-    def sampled(f: Column) -> Column:
-        variance = F.greatest(F.lit(0.0), dot(f["m"]["precision_inverse"], F.col("_pairs")))
-        return dot(f["m"]["theta"], x) + sigma * F.sqrt(variance) * f["z"]
+    def choice(row: Column) -> Column:
+        def sampled(f: Column) -> Column:
+            variance = F.greatest(F.lit(0.0), dot(f["m"]["precision_inverse"], row["pairs"]))
+            return dot(f["m"]["theta"], row["x"]) + sigma * F.sqrt(variance) * f["z"]
 
-    scored = states.withColumns({"_model": model, "_pairs": pairs})
-    return scored.withColumn("action_id", _lowest_cost(models, sampled)).drop("_model", "_pairs")
+        return _lowest_cost(models, sampled)
+
+    # Products of the context are taken once per state, as the only element of an outer array.
+    once = F.array(F.struct(pairs.alias("pairs"), x.alias("x")))
+    scored = states.withColumn("_model", model)
+    return scored.withColumn("action_id", F.transform(once, choice)[0]).drop("_model")
+
+
+# Texts of the rationale.
+WHY_REST = "Rest day recommended due to low readiness ({}) or insufficient sleep ({}h)"
+WHY_LOW = "Low intensity {} recommended based on current recovery state"
+WHY_HARD = "{} intensity {} recommended - you're well recovered"
+
+
+def fill_all(template: str, *values: Column) -> Column:
+    """The template with each placeholder replaced by the next column."""
+    texts = [F.lit(part) for part in template.split("{}")]
+    inserts = [v.cast("string") for v in values]
+    return F.concat(texts[0], *[x for pair in zip(inserts, texts[1:], strict=True) for x in pair])
 
 
 def rationale() -> Column:
     """Why the action was chosen, from its type and intensity."""
-    readiness = or_else("readiness_score", 50)
     rested = one_decimal(or_else("sleep_duration_hours", 7).cast("double"))
     kind, level = F.lower("workout_type"), F.col("intensity")
-    rest = F.concat(
-        F.lit("Rest day recommended due to low readiness ("),
-        readiness.cast("string"),
-        F.lit(") or insufficient sleep ("),
-        rested,
-        F.lit("h)"),
+    return (
+        F.when(F.col("workout_type") == "REST", fill_all(WHY_REST, or_else("readiness_score", 50), rested))
+        .when(level == "LOW", fill_all(WHY_LOW, kind))
+        .otherwise(fill_all(WHY_HARD, level, kind))
     )
-    low = F.concat(F.lit("Low intensity "), kind, F.lit(" recommended based on current recovery state"))
-    hard = F.concat(level, F.lit(" intensity "), kind, F.lit(" recommended - you're well recovered"))
-    return F.when(F.col("workout_type") == "REST", rest).when(level == "LOW", low).otherwise(hard)
 
 
 def recommend(states: DataFrame, choose, profile: str = "declared") -> DataFrame:

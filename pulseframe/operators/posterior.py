@@ -220,6 +220,7 @@ def quantile_grids(posterior: DataFrame) -> DataFrame:
             ]
             yield batch[["action_id"]].assign(cells=cells)
 
-    return posterior.select("action_id", "alpha", "beta").mapInPandas(
+    # 18 rows: one Python worker is enough.
+    return posterior.select("action_id", "alpha", "beta").coalesce(1).mapInPandas(
         grids, "action_id int, cells array<struct<low: double, width: double>>"
     )

@@ -25,116 +25,113 @@ REST_OR_RECOVERY = ids_within(("REST", "RECOVERY"), "LOW")
 UP_TO_MEDIUM = ids_within(max_intensity="MEDIUM")
 UP_TO_LOW = sorted(ids_of_intensity("NONE") + ids_of_intensity("LOW"))
 
-# Fixed value: text of an alert after its reason.
-ALERT_ADVICE = (
-    "\n\nPlease stop training and consult with a healthcare professional if you experience: "
+# The checks of a state in order, with severity, recommended action and message.
+STATE_CHECKS = {
+    "signals": (
+        "high",
+        "rest_day_or_light_activity",
+        "Abnormal physiological signals detected: {}",
+    ),
+    "overtraining": (
+        "critical",
+        "mandatory_rest_day",
+        "Overtraining risk detected. Multiple indicators suggest excessive training load.",
+    ),
+    "frequency": (
+        "high",
+        "reduce_intensity_or_rest",
+        "High training frequency detected ({} days/week)",
+    ),
+    "fatigue": (
+        "high",
+        "rest_day_or_recovery_session",
+        "High fatigue level ({}/10). Training may be counterproductive.",
+    ),
+    "sleep": (
+        "medium",
+        "light_training_or_rest",
+        "Insufficient sleep ({} hours). Recovery may be compromised.",
+    ),
+    "readiness": (
+        "medium",
+        "reduce_intensity",
+        "Low readiness score ({}/100). Consider lighter training.",
+    ),
+    "soreness": (
+        "high",
+        "active_recovery_or_rest",
+        "High muscle soreness ({}/10). Risk of injury if training intensively.",
+    ),
+    "clear": ("low", "proceed_with_plan", "All safety checks passed"),
+}
+FAST_PULSE = "Resting heart rate elevated ({} bpm)"
+LOW_HRV = "HRV very low ({} ms)"
+
+# The checks of a plan, in the same form.
+PLAN_CHECKS = {
+    "too_hard": ("high", "reduce_intensity", "High intensity plan requested but fatigue level is elevated"),
+    "injury": ("critical", "modify_plan", "Plan includes exercise that may aggravate injury history: {}"),
+    "clear": ("low", "proceed", "Plan is safe given current state"),
+}
+
+# Type, severity, action and text of an alert.
+ALERT_TYPE, ALERT_SEVERITY = "safety_alert", "critical"
+ALERT_ACTION = "stop_training_and_consult_professional"
+ALERT_TEXT = (
+    "⚠️ SAFETY ALERT: {}\n\nPlease stop training and consult with a healthcare professional if you experience: "
     "chest pain, dizziness, severe discomfort, or abnormal heart rate patterns."
 )
-ALERT_PREFIX = "⚠️ SAFETY ALERT: "
+
+OUTCOME = ("is_safe", "risk_level", "message", "recommended_action")
 
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+def fill(template: str, value: Column | None = None) -> Column:
+    """The template with its placeholder replaced by a column."""
+    if value is None:
+        return F.lit(template)
+    before, after = template.split("{}")
+    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
 
 
-def _finding(order: int, severity: str, message: Column | str, action: str) -> Column:
-    """A check result whose struct order is severity first, then check order."""
+def _finding(checks: dict, name: str, value: Column | None = None) -> Column:
+    """The result of a check; structs order by severity first, then by place in the list."""
+    severity, action, message = checks[name]
     return F.struct(
         F.lit(SEVERITY.index(severity)).alias("rank"),
-        F.lit(order).alias("order"),
+        F.lit(list(checks).index(name)).alias("place"),
         F.lit(severity == "low").alias("is_safe"),
         F.lit(severity).alias("risk_level"),
-        (F.lit(message) if isinstance(message, str) else message).alias("message"),
+        fill(message, value).alias("message"),
         F.lit(action).alias("recommended_action"),
     )
 
 
 def _state_findings(columns: list[str]) -> list[Column]:
-    rhr, hrv = F.col("resting_hr"), F.col("hrv")
-    fatigue, soreness = F.col("fatigue"), F.col("soreness")
-    sleep, readiness = F.col("sleep_duration_hours"), F.col("readiness_score")
-    fast_pulse, low_hrv = given_above(rhr, MAX_RESTING_HR), given_below(hrv, MIN_HRV)
+    """One nullable finding per check that the columns allow."""
+    fast_pulse, low_hrv = given_above("resting_hr", MAX_RESTING_HR), given_below("hrv", MIN_HRV)
     signals = F.concat_ws(
         "; ",
-        F.when(fast_pulse, _text("Resting heart rate elevated (", rhr, " bpm)")),
-        F.when(low_hrv, _text("HRV very low (", hrv, " ms)")),
+        F.when(fast_pulse, fill(FAST_PULSE, F.col("resting_hr"))),
+        F.when(low_hrv, fill(LOW_HRV, F.col("hrv"))),
     )
-    findings = [
-        F.when(
-            fast_pulse | low_hrv,
-            _finding(
-                0, "high", _text("Abnormal physiological signals detected: ", signals), "rest_day_or_light_activity"
-            ),
-        ),
-        F.when(
-            F.col("overtraining_risk"),
-            _finding(
-                1,
-                "critical",
-                "Overtraining risk detected. Multiple indicators suggest excessive training load.",
-                "mandatory_rest_day",
-            ),
-        ),
-        F.when(
-            given_at_least(fatigue, MAX_FATIGUE),
-            _finding(
-                3,
-                "high",
-                _text("High fatigue level (", fatigue, "/10). Training may be counterproductive."),
-                "rest_day_or_recovery_session",
-            ),
-        ),
-        F.when(
-            given_below(sleep, MIN_SLEEP_HOURS),
-            _finding(
-                4,
-                "medium",
-                _text("Insufficient sleep (", sleep, " hours). Recovery may be compromised."),
-                "light_training_or_rest",
-            ),
-        ),
-        F.when(
-            given_below(readiness, MIN_READINESS),
-            _finding(
-                5,
-                "medium",
-                _text("Low readiness score (", readiness, "/100). Consider lighter training."),
-                "reduce_intensity",
-            ),
-        ),
-        F.when(
-            given_at_least(soreness, MAX_SORENESS),
-            _finding(
-                6,
-                "high",
-                _text("High muscle soreness (", soreness, "/10). Risk of injury if training intensively."),
-                "active_recovery_or_rest",
-            ),
-        ),
-    ]
+    fails = {
+        "signals": (fast_pulse | low_hrv, signals),
+        "overtraining": (F.col("overtraining_risk"), None),
+        "fatigue": (given_at_least("fatigue", MAX_FATIGUE), F.col("fatigue")),
+        "sleep": (given_below("sleep_duration_hours", MIN_SLEEP_HOURS), F.col("sleep_duration_hours")),
+        "readiness": (given_below("readiness_score", MIN_READINESS), F.col("readiness_score")),
+        "soreness": (given_at_least("soreness", MAX_SORENESS), F.col("soreness")),
+    }
     if "training_frequency_last_week" in columns:
         frequency = F.col("training_frequency_last_week")
-        findings.append(
-            F.when(
-                given_at_least(frequency, MAX_CONSECUTIVE_HIGH_DAYS),
-                _finding(
-                    2,
-                    "high",
-                    _text("High training frequency detected (", frequency, " days/week)"),
-                    "reduce_intensity_or_rest",
-                ),
-            )
-        )
-    return findings
+        fails["frequency"] = (given_at_least(frequency, MAX_CONSECUTIVE_HIGH_DAYS), frequency)
+    return [F.when(failing, _finding(STATE_CHECKS, name, value)) for name, (failing, value) in fails.items()]
 
 
 def _worst(findings: list[Column], all_clear: Column) -> Column:
     return F.array_min(F.array(*findings, all_clear))
 
 
-OUTCOME = ("is_safe", "risk_level", "message", "recommended_action")
-
-
 def _with_outcome(df: DataFrame, worst: Column) -> DataFrame:
     checked = df.withColumn("_worst", worst)
     return checked.withColumns({name: F.col(f"_worst.{name}") for name in OUTCOME}).drop("_worst")
@@ -147,8 +144,7 @@ def assess(states: DataFrame) -> DataFrame:
     overtraining_risk and, when present, training_frequency_last_week. Zero counts as not
     reported.
     """
-    clear = _finding(9, "low", "All safety checks passed", "proceed_with_plan")
-    return _with_outcome(states, _worst(_state_findings(states.columns), clear))
+    return _with_outcome(states, _worst(_state_findings(states.columns), _finding(STATE_CHECKS, "clear")))
 
 
 def allowed_coded(states: DataFrame) -> DataFrame:
@@ -209,10 +205,7 @@ def with_allowed(states: DataFrame, profile: str = "declared") -> DataFrame:
 
 def _plan_too_hard() -> Column:
     high = F.coalesce("intensity", F.lit("moderate")) == "high"
-    return F.when(
-        high & given_at_least("fatigue", PLAN_FATIGUE),
-        _finding(0, "high", "High intensity plan requested but fatigue level is elevated", "reduce_intensity"),
-    )
+    return F.when(high & given_at_least("fatigue", PLAN_FATIGUE), _finding(PLAN_CHECKS, "too_hard"))
 
 
 def _aggravates(name: Column) -> Column:
@@ -221,17 +214,8 @@ def _aggravates(name: Column) -> Column:
 
 def _plan_outcome(plans: DataFrame, first_hit: Column) -> DataFrame:
     """The intensity finding decides before the exercise finding, whatever its severity."""
-    injury = F.when(
-        first_hit.isNotNull(),
-        _finding(
-            1,
-            "critical",
-            _text("Plan includes exercise that may aggravate injury history: ", first_hit),
-            "modify_plan",
-        ),
-    )
-    clear = _finding(9, "low", "Plan is safe given current state", "proceed")
-    return _with_outcome(plans, F.coalesce(_plan_too_hard(), injury, clear))
+    injury = F.when(first_hit.isNotNull(), _finding(PLAN_CHECKS, "injury", first_hit))
+    return _with_outcome(plans, F.coalesce(_plan_too_hard(), injury, _finding(PLAN_CHECKS, "clear")))
 
 
 def plan_safety(plan_exercises: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
@@ -268,13 +252,13 @@ def adjust_plan(plans: DataFrame) -> DataFrame:
 def safety_alerts(assessed: DataFrame) -> DataFrame:
     """One alert per unsafe state."""
     return assessed.where(~F.col("is_safe")).select(
-        F.lit("safety_alert").alias("type"),
-        F.lit("critical").alias("severity"),
+        F.lit(ALERT_TYPE).alias("type"),
+        F.lit(ALERT_SEVERITY).alias("severity"),
         "user_id",
         "date",
         F.col("message").alias("reason"),
-        F.lit("stop_training_and_consult_professional").alias("recommended_action"),
-        F.concat(F.lit(ALERT_PREFIX), "message", F.lit(ALERT_ADVICE)).alias("message"),
+        F.lit(ALERT_ACTION).alias("recommended_action"),
+        fill(ALERT_TEXT, F.col("message")).alias("message"),
     )
 
 
@@ -285,28 +269,25 @@ def mood_class(mood: Column | str = "mood", stress: Column | str = "stress") ->
     return F.when((mood <= 2) | (stress >= 4), "gentle").when(mood >= 4, "push").otherwise("neutral")
 
 
-# Metric, text before and text after it, in the order of the summary.
-SUMMARY_PARTS = (
-    ("readiness_score", "Readiness score: ", "/100"),
-    ("sleep_score", "Sleep quality: ", "/100"),
-    ("resting_hr", "Resting heart rate: ", " bpm"),
-    ("days_since_training", "Last trained ", " days ago"),
-    ("fatigue", "Fatigue level: ", "/10"),
-    ("motivation", "Motivation level: ", "/10"),
-    ("mood", "Mood score: ", "/5"),
-)
+# Metrics of the summary in order, with their texts, and the text when none is reported.
+SUMMARY = {
+    "readiness_score": "Readiness score: {}/100",
+    "sleep_score": "Sleep quality: {}/100",
+    "resting_hr": "Resting heart rate: {} bpm",
+    "days_since_training": "Last trained {} days ago",
+    "fatigue": "Fatigue level: {}/10",
+    "motivation": "Motivation level: {}/10",
+    "mood": "Mood score: {}/5",
+}
+NO_SUMMARY = "No data available"
 
 
 def state_summary(columns: list[str]) -> Column:
     """One line of text over the reported metrics of a state; zero is reported only for days since training."""
     shown = lambda name: F.col(name).isNotNull() if name == "days_since_training" else given(name)
-    parts = [
-        F.when(shown(name), _text(before, F.col(name), after))
-        for name, before, after in SUMMARY_PARTS
-        if name in columns
-    ]
+    parts = [F.when(shown(name), fill(text, F.col(name))) for name, text in SUMMARY.items() if name in columns]
     text = F.concat_ws(". ", *parts)
-    return F.when(text == "", "No data available").otherwise(text)
+    return F.when(text == "", NO_SUMMARY).otherwise(text)
 
 
 # Groups and fields of the nested state record.

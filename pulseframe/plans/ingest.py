@@ -126,20 +126,20 @@ TRENDS = {
 @query(
     "scan_oura_trends",
     """select user_id, date, readiness_score, hrv, resting_hr,
-       case when user_id % 2 = 0 then sleep_duration_hours end as sleep_duration_hours,
-       case when user_id % 2 = 0 then steps end as steps,
-       case when user_id % 2 = 0 then active_calories end as active_calories from oura_day""",
+       case when hrv is not null then sleep_duration_hours end as sleep_duration_hours,
+       case when hrv is not null then steps end as steps,
+       case when hrv is not null then active_calories end as active_calories from oura_day""",
     "oura_day",
     "readiness_score hrv resting_hr sleep_duration_hours steps active_calories",
 )
 def scan_oura_trends(spark, folder):
-    """Two sets of files: users with an even id deliver every column, the others lack three."""
+    """Two sets of files: days with a night reading deliver every column, the others lack three."""
     day = source(spark, folder, "oura_day")
     full = day.withColumnsRenamed(TRENDS)
     short = full.drop("Total Sleep Duration", "Steps", "Activity Burn")
     paths = [
-        landed(spark, folder, "trends-full", lambda p: sinks.write_csv(full.where(F.col("user_id") % 2 == 0), p)),
-        landed(spark, folder, "trends-short", lambda p: sinks.write_csv(short.where(F.col("user_id") % 2 == 1), p)),
+        landed(spark, folder, "trends-full", lambda p: sinks.write_csv(full.where(F.col("Average HRV").isNotNull()), p)),
+        landed(spark, folder, "trends-short", lambda p: sinks.write_csv(short.where(F.col("Average HRV").isNull()), p)),
     ]
     trends = oura.scan_oura_trends(spark, paths)
     return trends.withColumn("user_id", F.col("user_id").cast("bigint"))
@@ -487,13 +487,14 @@ def posterior_snapshot(spark, folder):
     "readiness_score",
 )
 def daily_state_upsert(spark, folder):
-    """Every record is a version of its day's state; two loads, the second one overlapping."""
-    versions = source(spark, folder, "records").select(
-        "user_id", "date", F.col("event_id").alias("version"), F.col("value").alias("readiness_score")
-    )
+    """Every record is a version of its day's state. The pulse records load first, then all of them."""
+    records = source(spark, folder, "records")
+    version = [F.col("event_id").alias("version"), F.col("value").alias("readiness_score")]
+    pulse = records.where(F.col("type") == "heart_rate").select("user_id", "date", *version)
+    everything = records.select("user_id", "date", *version)
 
     def write(path: str) -> None:
-        sinks.upsert_states(versions.where(F.col("version") % 2 == 0), path, "version")
-        sinks.upsert_states(versions.where(F.col("version") % 2 == 1), path, "version")
+        sinks.upsert_states(pulse, path, "version")
+        sinks.upsert_states(everything, path, "version")
 
     return spark.read.parquet(landed(spark, folder, "states", write))

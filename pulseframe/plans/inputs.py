@@ -50,15 +50,17 @@ select user_id, date, round(resting_hr, 6) as resting_hr, round(hrv, 6) as hrv,
   round(readiness_score, 6) as readiness_score, sleep_score, activity_score, fatigue, soreness, mood, stress,
   overtraining_risk, completion
 from {day}""",
-    "apple_records": "select * from {records} where event_id % 4 <> 0",
+    # Two devices that overlap: the watch does not measure hrv; the ring does not count steps but
+    # estimates them, and reads pulse and energy a little lower.
+    "apple_records": "select * from {records} where type <> 'hrv'",
     "oura_day": """
 select user_id, date, greatest(0.0e0, 100 - avg(raw_value)) as readiness_score,
   avg(case when type = 'hrv' then value end) as hrv,
-  min(case when type = 'heart_rate' then value end) as resting_hr,
-  sum(case when type = 'steps' then value end) as steps,
-  sum(case when type = 'active_energy' then value end) as active_calories,
+  min(case when type = 'heart_rate' then value end) - 2 as resting_hr,
+  sum(case when type = 'active_energy' then value end) * 10 as steps,
+  sum(case when type = 'active_energy' then value end) * 0.9e0 as active_calories,
   avg(case when type = 'sleep' then value end) as sleep_duration_hours
-from {records} where event_id % 3 <> 0 group by user_id, date""",
+from {records} where type <> 'steps' group by user_id, date""",
     "night": """
 select user_id, date, avg(value) as sleep_duration_hours, cast(max(k) as double) as sleep_score
 from {records} where type = 'sleep' group by user_id, date""",

@@ -16,6 +16,8 @@ def get_session(app_name: str = "pulseframe", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Rows are narrow and scoring them is CPU work, so small partitions pay off.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
     if master:

@@ -56,14 +56,11 @@ def scan_health_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     which holds all attributes.
     """
     pieces = spark.read.option("lineSep", "<Record").text(path)
-    tag = F.regexp_extract("value", OPENING_TAG, 1)
-    element = F.concat(F.lit("<Record"), F.col("tag"), F.lit("/>"))
-    parsed = (
-        pieces.select(tag.alias("tag"))
-        .where(F.col("tag") != "")
-        .select(F.from_xml(element, ATTRIBUTES, {"attributePrefix": ""}).alias("r"))
-    )
-    return _records(parsed.select("r.*"))
+    tag = F.nullif(F.regexp_extract("value", OPENING_TAG, 1), F.lit(""))
+    element = F.concat(F.lit("<Record"), tag, F.lit("/>"))
+    record = F.from_xml(element, ATTRIBUTES, {"attributePrefix": ""})
+    # A generator parses once; a filter on the parsed record would parse again below itself.
+    return _records(pieces.select(F.inline(F.array_compact(F.array(record)))))
 
 
 def scan_health_xml_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -377,13 +377,6 @@ def decisions_with_context(spark, folder):
     return served.select(*KEYS, "action_id", "reward", pt.context_vector().alias("context"))
 
 
-@query("linear_expected_reward")
-def linear_expected_reward(spark, folder):
-    served = decisions_with_context(spark, folder)
-    linear = pt.linear_posterior(pt.linear_statistics(served))
-    return pt.expected_reward(served, linear).drop("context")
-
-
 @query("linear_thompson_decision")
 def linear_thompson_decision(spark, folder):
     linear = pt.linear_posterior(pt.linear_statistics(decisions_with_context(spark, folder)))
@@ -392,6 +385,45 @@ def linear_thompson_decision(spark, folder):
 
 
 _PAIRS = pt.pair_names()
+_N = pt.CONTEXT_SIZE
+VECTORS = {
+    "since_states": SINCE_STATES.replace("from states)", "from decisions)"),
+    "vectors": """select user_id, date, action_id, reward, coalesce(readiness_score, 50) / 100 as c0,
+      coalesce(sleep_score, 50) / 100 as c1, coalesce(activity_score, 50) / 100 as c2, coalesce(hrv, 50) / 100 as c3,
+      coalesce(resting_hr, 60) / 100 as c4, coalesce(fatigue, 5) / 10e0 as c5,
+      coalesce(days_since_training, 1) / 7e0 as c6 from since_states""",
+}
+
+
+def solved() -> dict[str, str]:
+    """Gauss-Jordan elimination of every action's system (B | f), one expression per pivot."""
+    cells = [(i, j) for i in range(_N) for j in range(_N + 1)]
+    start = [
+        f"sum(reward * c{i}) as a_{i}_{j}" if j == _N else f"sum(c{i} * c{j}) + {int(i == j)}e0 as a_{i}_{j}"
+        for i, j in cells
+    ]
+    steps = {"step_0": f"select action_id, {', '.join(start)} from vectors group by action_id"}
+    for k in range(_N):
+        reduced = [
+            f"a_{k}_{j} / a_{k}_{k} as a_{i}_{j}" if i == k else f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} as a_{i}_{j}"
+            for i, j in cells
+        ]
+        steps[f"step_{k + 1}"] = f"select action_id, {', '.join(reduced)} from step_{k}"
+    return steps
+
+
+@query(
+    "linear_expected_reward",
+    f"""select user_id, date, action_id, reward, {" + ".join(f"a_{i}_{_N} * c{i}" for i in range(_N))} as expected_reward
+        from vectors join step_{_N} using (action_id)""",
+    "decisions",
+    "reward expected_reward",
+    {**VECTORS, **solved()},
+)
+def linear_expected_reward(spark, folder):
+    served = decisions_with_context(spark, folder)
+    linear = pt.linear_posterior(pt.linear_statistics(served))
+    return pt.expected_reward(served, linear).drop("context")
 
 
 @query(
@@ -403,12 +435,7 @@ _PAIRS = pt.pair_names()
     + " from vectors group by action_id",
     "decisions",
     " ".join([f"b_{i}_{j}" for i, j in _PAIRS] + [f"f_{i}" for i in range(pt.CONTEXT_SIZE)]),
-    {
-        "since_states": SINCE_STATES.replace("from states)", "from decisions)"),
-        "vectors": """select action_id, reward, coalesce(readiness_score, 50) / 100 as c0, coalesce(sleep_score, 50) / 100 as c1,
-          coalesce(activity_score, 50) / 100 as c2, coalesce(hrv, 50) / 100 as c3, coalesce(resting_hr, 60) / 100 as c4,
-          coalesce(fatigue, 5) / 10e0 as c5, coalesce(days_since_training, 1) / 7e0 as c6 from since_states""",
-    },
+    VECTORS,
 )
 def linear_statistics(spark, folder):
     return pt.linear_statistics(decisions_with_context(spark, folder))

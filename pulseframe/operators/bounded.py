@@ -27,7 +27,8 @@ def dense_index(df: DataFrame, key: str, unique_id: str, name: str, chunk_rows:
     A plain window would put a whole key into one task. Here ids are cut into ranges of
     ``chunk_rows``; rows are numbered within (key, range) and shifted by the number of
     rows in the key's earlier ranges. A range holds at most ``chunk_rows`` rows because
-    ids are unique.
+    ids are unique. Ids should be dense, as row ids are: the number of ranges is what the
+    offset window of a key has to sort.
     """
     chunked = df.withColumn("_chunk", F.floor(F.col(unique_id) / chunk_rows))
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -267,7 +267,7 @@ def scan_participants(spark, folder):
         scores.write.partitionBy("p", "fitbit").option("header", True).csv(path)
         scores.drop("p", "fitbit").write.option("header", True).csv(f"{path}/other/fitbit=1")
 
-    return files.scan_participants(spark, landed(spark, folder, "participants", write))
+    return files.scan_participants(spark, landed(spark, folder, "participants", write), "fitbit=1/*.csv")
 
 
 @query(

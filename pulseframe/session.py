@@ -19,6 +19,11 @@ def get_session(app_name: str = "pulseframe", master: str | None = None, **conf:
         # Rows are narrow and scoring them is CPU work, so small partitions pay off.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Deduplication keeps one entry per event, more than fits on the heap.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     )
     if master:
         builder = builder.master(master)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.functions.scalars import to_instant, to_whole, wall_clock_date
+from pulseframe.functions.scalars import to_instant, to_number, to_whole, wall_clock_date
 
 # Columns of the training log.
 TRAINING_LOG = (
@@ -29,17 +29,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scan_participants(
-    spark: SparkSession, root: str, schema: str = "timestamp string, overall_score double", leaf: str = "fitbit"
-) -> DataFrame:
-    """Sleep scores of every participant directory ``p*``; the directory names the user."""
-    raw = spark.read.schema(schema).option("header", True).csv(f"{root}/p*/{leaf}*/*.csv")
-    folder = rf"/(p[^/]*)/{leaf}[^/]*/"
-    return raw.withColumns(
-        {
-            "user_id": F.regexp_extract(F.col("_metadata.file_path"), folder, 1),
-            "date": wall_clock_date("timestamp"),
-        }
+def scan_participants(spark: SparkSession, root: str, file: str = "fitbit/sleep_score.csv") -> DataFrame:
+    """One file of every participant directory ``p*``; the directory names the user.
+
+    ``timestamp`` stays text and every other column becomes a number.
+    """
+    raw = spark.read.option("header", True).csv(f"{root}/p*/{file}")
+    inner = file.split("/")[0].replace("*", "[^/]*")
+    return raw.select(
+        "timestamp",
+        *[to_number(F.col(f"`{c}`")).alias(c) for c in raw.columns if c != "timestamp"],
+        F.regexp_extract(F.col("_metadata.file_path"), rf"/(p[^/]*)/{inner}/", 1).alias("user_id"),
+        wall_clock_date("timestamp").alias("date"),
     )
 
 

@@ -100,6 +100,7 @@ def test_payload_documents(spark, tmp_path):
 def test_participants(spark, tmp_path):
     for who in ("p01", "p02", "other"):
         write(tmp_path / who / "fitbit" / "sleep_score.csv", "timestamp,overall_score\n2024-01-01T23:30:00Z,80\n")
+        write(tmp_path / who / "fitbit" / "exercise.csv", "timestamp,overall_score\n2024-01-01T23:30:00Z,99\n")
     rows = files.scan_participants(spark, str(tmp_path)).orderBy("user_id").collect()
     assert [(r.user_id, r.date, r.overall_score) for r in rows] == [
         ("p01", dt.date(2024, 1, 1), 80.0), ("p02", dt.date(2024, 1, 1), 80.0),

@@ -24,11 +24,17 @@ TOPICS = {
 OTHER_TOPIC = "agent.conversation.events"
 
 
+def _rebalanced(df: DataFrame, column: str) -> DataFrame:
+    """Rows gathered by a partition column before writing: few files for quiet values, and several
+    tasks for busy ones, as adaptive execution finds them."""
+    return df.hint("rebalance", F.col(column))
+
+
 def write_monthly(df: DataFrame, path: str, date: str = "date") -> None:
-    """Parquet partitioned by calendar month. Spread over months before writing is left to adaptive
-    execution, so a busy month is written by many tasks."""
+    """Parquet partitioned by calendar month."""
     month = F.date_format(date, "yyyy-MM").alias("year_month")
-    df.select("*", month).write.mode("overwrite").partitionBy("year_month").parquet(path)
+    monthly = _rebalanced(df.select("*", month), "year_month")
+    monthly.write.mode("overwrite").partitionBy("year_month").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -112,4 +118,5 @@ def upsert_states(states: DataFrame, path: str, version: str = "created_at") ->
         touched = small_side(states.select("date").distinct())
         states = states.unionByName(stored.join(touched, "date", "left_semi").select(*states.columns))
     newest = latest_per_key(states, keys, [version])
-    newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+    writer = _rebalanced(newest, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("date").parquet(path)

@@ -165,3 +165,11 @@ def test_routes(spark):
     assert [r.topic.split(".")[1] for r in rows] == ["plan", "user", "conversation", "conversation", "conversation"]
     assert [r.loop_topic.split(".")[1] for r in rows] == ["plan", "user", "plan", "user", "plan"]
     assert json.loads(rows[0].value)["payload"] == {"user_id": 1}
+
+
+def test_monthly_files_are_few(spark, tmp_path):
+    days = spark.range(200).select(F.col("id"), F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 60).cast("int")).alias("date"))
+    path = str(tmp_path / "monthly")
+    sinks.write_monthly(days.repartition(20), path)
+    assert len(list((tmp_path / "monthly").glob("year_month=*/*.parquet"))) <= 6
+    assert spark.read.parquet(path).where("year_month = '2024-02'").count() == days.where("month(date) = 2").count()

@@ -272,8 +272,8 @@ def scan_participants(spark, folder):
 
 @query(
     "scan_training_log",
-    """select user_id, cast(date as date) as date, exercise_name, sets, reps, weight_kg, cast(null as integer) as rest_seconds,
-       rpe, fatigue, motivation, muscle_soreness, cast(null as varchar) as notes, workout_type,
+    """select user_id, cast(date as date) as date, exercise_name, sets, reps, weight_kg, 30 + 5 * rpe as rest_seconds,
+       rpe, fatigue, motivation, muscle_soreness, concat('set of ', sets) as notes, workout_type,
        total_duration_minutes from sessions""",
     "sessions",
     "weight_kg",
@@ -281,7 +281,7 @@ def scan_participants(spark, folder):
 def scan_training_log(spark, folder):
     def write(path: str) -> None:
         log = source(spark, folder, "sessions").withColumns(
-            {"rest_seconds": F.lit(None).cast("int"), "notes": F.lit(None).cast("string")}
+            {"rest_seconds": 30 + 5 * F.col("rpe"), "notes": F.concat(F.lit("set of "), F.col("sets").cast("string"))}
         )
         names = [c.split()[0] for c in files.TRAINING_LOG.split(", ")]
         sinks.write_csv(log.select("user_id", *names), path)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_local_folders: dict[str, str] = {}
+
+
 def get_session(app_name: str = "pulseframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library expects; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -42,9 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="pulseframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="pulseframe-")
+    return _local_folders[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe.plans.decisions import ALERT_SQL, CHECKED, beta, states
+from pulseframe.operators.policy import greedy, recommend
+from pulseframe.operators.reward import with_reward
+from pulseframe.plans.decisions import ALERT_SQL, CHECKED, GREEDY, beta, states
 from pulseframe.plans.daily import MEASURE_DOUBLES, MEASURES
 from pulseframe.plans.ingest import ROUTED_EXTRA, ROUTED_SQL, coach_events, landed
 from pulseframe.plans.inputs import INPUTS, source
@@ -12,6 +14,7 @@ from pulseframe.plans.learning import BETA
 from pulseframe.plans.registry import ORACLES, query
 from pulseframe.session import scratch_path
 from pulseframe.streaming import jobs
+from pulseframe.streaming.messages import feedback_messages, parse_feedback, plan_messages
 from pulseframe.streaming.runner import parquet_stream
 
 
@@ -33,6 +36,38 @@ def stream_posterior(spark, folder):
     return jobs.stream_posterior(feedback, scratch_path(spark, "stream-posterior"))
 
 
+@query("stream_feedback_messages", "select * from posterior", "fb", "alpha beta total_reward", BETA)
+def stream_feedback_messages(spark, folder):
+    """Feedback lands as JSON messages, which a stream parses before it learns from them."""
+
+    def publish(path: str) -> None:
+        scored = with_reward(source(spark, folder, "fb"))
+        feedback_messages(scored, "date").write.parquet(path)
+
+    path = landed(spark, folder, "feedback-messages", publish)
+    messages = parquet_stream(spark, path, spark.read.parquet(path).schema)
+    return jobs.stream_posterior(parse_feedback(messages), scratch_path(spark, "stream-messages"))
+
+
+@query(
+    "plan_messages",
+    """select 'training.plan.served' as topic, cast(to_json({'event_type': 'plan_served', 'user_id': cast(user_id as varchar),
+         'timestamp': cast(date as varchar), 'action_id': action_id, 'recommendation': {'action_id': action_id,
+         'workout_type': workout_type, 'intensity': intensity, 'duration_minutes': duration_minutes,
+         'description': description}}) as varchar) as value
+       from greedy join actions using (action_id)""",
+    "states fb",
+    extra=GREEDY,
+)
+def plan_messages_of_states(spark, folder):
+    posterior = beta(spark, folder)
+    plans = recommend(states(spark, folder), lambda s: greedy(s, posterior))
+    served = plans.select(
+        "user_id", "date", "action_id", "workout_type", "intensity", "duration_minutes", "description"
+    )
+    return plan_messages(served)
+
+
 @query("stream_recommend")
 def stream_recommend(spark, folder):
     def store(path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulseframe.operators.posterior import beta_posterior
 from pulseframe.operators.reward import with_reward
 from pulseframe.streaming import jobs
+from pulseframe.streaming.messages import feedback_messages, parse_feedback
 from pulseframe.streaming.runner import parquet_stream
 
 FEEDBACK = "event_id int, timestamp timestamp, action_id int, completion double"
@@ -87,3 +88,17 @@ def test_alerts_only_for_unsafe_states(spark, tmp_path):
     stream = parquet_stream(spark, str(tmp_path / "states"), states.schema)
     rows = jobs.stream_alerts(stream, str(tmp_path / "alerts")).collect()
     assert [(r.user_id, r.severity) for r in rows] == [(1, "critical")]
+
+
+def test_messages_survive_a_round_trip(spark):
+    rows = [(7, NOON, 3, 1.0, 0.5, True), (8, NOON, 4, None, None, None)]
+    sent = spark.createDataFrame(
+        rows, "user_id int, timestamp timestamp, action_id int, completion double, satisfaction double, overtraining boolean"
+    )
+    values = feedback_messages(with_reward(sent))
+    noise = spark.createDataFrame([("t", "{broken"), ("t", '{"event_type": "plan_served", "action_id": 1}')], "topic string, value string")
+    got = parse_feedback(values.union(noise)).orderBy("user_id").collect()
+    assert [(r.user_id, r.action_id, r.completion, r.satisfaction, r.overtraining) for r in got] == [
+        ("7", 3, 1.0, 0.5, True), ("8", 4, None, None, None),
+    ]
+    assert {r.topic for r in values.collect()} == {"training.user.feedback"}

@@ -108,10 +108,11 @@ def linear_thompson(
 
         return _lowest_cost(models, sampled)
 
-    # Products of the context are taken once per state, as the only element of an outer array.
+    # Products of the context are taken once per state, as the only element of an outer array. Both
+    # columns are read in one place, which lets the optimizer keep the model out of the rows.
     once = F.array(F.struct(pairs.alias("pairs"), x.alias("x")))
-    scored = states.withColumn("_model", model)
-    return scored.withColumn("action_id", F.transform(once, choice)[0]).drop("_model")
+    scored = states.withColumns({"_state": once, "_model": model})
+    return scored.withColumn("action_id", F.transform("_state", choice)[0]).drop("_state", "_model")
 
 
 # Texts of the rationale.

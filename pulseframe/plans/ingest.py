@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions.scalars import to_instant, wall_clock_date
 from pulseframe.operators import features as ft
+from pulseframe.operators import quality as ql
 from pulseframe.operators.catalog import decorate
 from pulseframe.operators.history import flatten_history, nest_history
 from pulseframe.operators.posterior import beta_posterior
@@ -333,10 +334,9 @@ def import_history_json(spark, folder):
 )
 def rows_per_file(spark, folder):
     """Counts of every file of three tables."""
-    parts = [source(spark, folder, n).select("_metadata.file_path") for n in ("events", "lineitem", "orders")]
-    paths = parts[0].union(parts[1]).union(parts[2])
-    file = F.element_at(F.split("file_path", "/"), -1).alias("file")
-    return paths.groupBy(file).agg(F.count(F.lit(1)).alias("row_count"))
+    events, lines, orders = (ql.rows_per_file(source(spark, folder, n)) for n in ("events", "lineitem", "orders"))
+    file = F.element_at(F.split("path", "/"), -1).alias("file")
+    return events.union(lines).union(orders).select(file, "row_count")
 
 
 @query("features_roundtrip", FEATURE_SQL, "day", FEATURE_DOUBLES)

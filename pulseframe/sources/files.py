@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.functions.scalars import to_instant, to_number, to_whole, wall_clock_date
+from pulseframe.functions.scalars import to_number, to_whole, wall_clock_date
 
 # Columns of the training log.
 TRAINING_LOG = (
@@ -64,8 +64,3 @@ def import_history_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = (
 def import_history_json(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """Uploaded history documents: an array, a single object, or one object per line."""
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
-
-
-def parse_sessions(sessions: DataFrame) -> DataFrame:
-    """Times of a log read as strings to timestamps."""
-    return sessions.withColumn("date", to_instant("date"))

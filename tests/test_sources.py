@@ -173,3 +173,13 @@ def test_monthly_files_are_few(spark, tmp_path):
     sinks.write_monthly(days.repartition(20), path)
     assert len(list((tmp_path / "monthly").glob("year_month=*/*.parquet"))) <= 6
     assert spark.read.parquet(path).where("year_month = '2024-02'").count() == days.where("month(date) = 2").count()
+
+
+def test_training_log(spark, tmp_path):
+    names = [c.split()[0] for c in files.TRAINING_LOG.split(", ")]
+    row = "2024-01-01 10:30:00,Bench Press,4,8,80,60,8,6,8,,strong,Push,60"
+    path = write(tmp_path / "log.csv", ",".join(names) + "\n" + row + "\n")
+    got = files.scan_training_log(spark, path).first()
+    assert (got.date, got.exercise_name, got.weight_kg, got.muscle_soreness, got.total_duration_minutes) == (
+        dt.datetime(2024, 1, 1, 10, 30), "Bench Press", 80.0, None, 60,
+    )

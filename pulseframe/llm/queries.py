@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulseframe.llm import packing
+from pulseframe.llm import packing, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,9 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(
         _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
+
+
+@_query
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.substring_dedup(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import packing, substrings
+from pulseframe.llm import packing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,9 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.substring_dedup(_table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.simhash_dedup(spark, _table(spark, folder, "documents"))
+    return groups.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import packing, simhash, substrings
+from pulseframe.llm import decontamination, packing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,19 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_dedup(spark, _table(spark, folder, "documents"))
     return groups.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+@_query
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op10_benchmark_decontamination"] = decontamination.ORACLE

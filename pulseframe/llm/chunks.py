@@ -99,6 +99,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """``bucket, start, stop`` of each bucket that has some of the sorted hashes."""
+    if not len(hashes):
+        return []
     owner = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.flatnonzero(np.diff(owner, prepend=owner[:1] + np.uint64(1), append=owner[-1:] + np.uint64(1)))
     return [(int(owner[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -125,3 +127,41 @@ def covering(starts: np.ndarray, length: int, total: int) -> np.ndarray:
     steps[starts] += 1
     np.subtract.at(steps, np.minimum(starts + length, total), 1)
     return np.cumsum(steps[:-1]) > 0
+
+
+def sent_hashes(chunk: int, hashes: np.ndarray, often: np.ndarray, buckets: int) -> dict[str, pa.Array]:
+    """Columns ``bucket, chunk, hashes, often``: a chunk's sorted set, by the bucket that owns it."""
+    blocks = by_bucket(hashes, buckets)
+    return {
+        "bucket": pa.array([b for b, _, _ in blocks], pa.int64()),
+        "chunk": pa.array([chunk] * len(blocks), pa.int64()),
+        "hashes": pa.array([hashes[s:t].tobytes() for _, s, t in blocks], pa.binary()),
+        "often": pa.array([np.packbits(often[s:t]).tobytes() for _, s, t in blocks], pa.binary()),
+    }
+
+
+def repeated_flags(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """``chunk, bucket, flags``: for each hash sent to a bucket, whether it came more than once."""
+    blocks = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("hashes")]
+    often = [
+        b[np.unpackbits(np.frombuffer(o.as_py(), np.uint8), count=len(b)).astype(bool)]
+        for b, o in zip(blocks, table.column("often"))
+    ]
+    ordered = np.sort(np.concatenate(blocks))
+    repeated = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], *often]))
+    return pa.table(
+        {
+            "chunk": table.column("chunk"),
+            "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int64()),
+            "flags": pa.array([np.packbits(among(b, repeated)).tobytes() for b in blocks], pa.binary()),
+        }
+    )
+
+
+def received_flags(answers: pa.Table, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The flags of a chunk's sorted set, from the answers of its buckets."""
+    flagged = np.zeros(len(hashes), bool)
+    by = dict(zip(answers.column("bucket").to_pylist(), answers.column("flags").to_pylist()))
+    for bucket, start, stop in by_bucket(hashes, buckets):
+        flagged[start:stop] = np.unpackbits(np.frombuffer(by[bucket], np.uint8), count=stop - start)
+    return flagged

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import decontamination, packing, simhash, substrings
+from pulseframe.llm import decontamination, packing, simhash, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,11 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
 
 
 ORACLES["op10_benchmark_decontamination"] = decontamination.ORACLE
+
+
+@_query
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffixes.suffix_array_dedup(spark, _table(spark, folder, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm.chunks import (
-    among,
-    by_bucket,
     chunk_count,
     chunked,
     covering,
     merged_runs,
     mixed,
+    received_flags,
+    repeated_flags,
+    sent_hashes,
     text_bytes,
     unpacked,
 )
@@ -154,43 +155,12 @@ def substring_dedup(
 
     def sent(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         _, _, (hashes, times), _ = _set_of(unpacked(table)[1], window)
-        blocks = by_bucket(hashes, count) if len(hashes) else []
-        return pa.table(
-            {
-                "bucket": pa.array([b for b, _, _ in blocks], pa.int64()),
-                "chunk": pa.array([key[0].as_py()] * len(blocks), pa.int64()),
-                "hashes": pa.array([hashes[s:t].tobytes() for _, s, t in blocks], pa.binary()),
-                "often": pa.array([np.packbits(times[s:t] > 1).tobytes() for _, s, t in blocks], pa.binary()),
-            }
-        )
-
-    def counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("hashes")]
-        often = [
-            b[np.unpackbits(np.frombuffer(o.as_py(), np.uint8), count=len(b)).astype(bool)]
-            for b, o in zip(blocks, table.column("often"))
-        ]
-        ordered = np.sort(np.concatenate(blocks))
-        repeated = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], *often]))
-        return pa.table(
-            {
-                "chunk": table.column("chunk"),
-                "bucket": pa.array([key[0].as_py()] * len(blocks), pa.int64()),
-                "flags": pa.array([np.packbits(among(b, repeated)).tobytes() for b in blocks], pa.binary()),
-            }
-        )
+        return pa.table(sent_hashes(key[0].as_py(), hashes, times > 1, count))
 
     def removed(table: pa.Table, flags: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return empty
         ids, texts = unpacked(table)
         counts, starts, (hashes, _), index = _set_of(texts, window)
-        flagged = np.zeros(len(hashes), bool)
-        if len(hashes):
-            answer = dict(zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()))
-            for bucket, start, stop in by_bucket(hashes, count):
-                bits = np.frombuffer(answer[bucket], np.uint8)
-                flagged[start:stop] = np.unpackbits(bits, count=stop - start)
+        flagged = received_flags(flags, hashes, count)
         gone = covering(starts[flagged[index]], window, int(counts.sum()))
         ends = np.cumsum(counts)
         n_removed, spans, kept = [], [], []
@@ -215,22 +185,8 @@ def substring_dedup(
         )
 
     schema = f"id {id_type}, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept_text string"
-    empty = pa.table(
-        {
-            "id": pa.array([], chunk_id_type(chunks)),
-            "n_words": pa.array([], pa.int64()),
-            "n_removed": pa.array([], pa.int64()),
-            "spans": pa.array([], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-            "kept_text": pa.array([], pa.string()),
-        }
-    )
     blocks = chunks.groupBy("chunk").applyInArrow(sent, "bucket long, chunk long, hashes binary, often binary")
-    flags = blocks.groupBy("bucket").applyInArrow(counted, "chunk long, bucket long, flags binary")
+    flags = blocks.groupBy("bucket").applyInArrow(repeated_flags, "chunk long, bucket long, flags binary")
     kept = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(removed, schema)
     return kept.withColumnRenamed("id", id_col)
 
-
-def chunk_id_type(chunks: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(chunks.schema["ids"].dataType.elementType)

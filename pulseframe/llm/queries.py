@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import decontamination, packing, simhash, substrings, suffixes
+from pulseframe.llm import decontamination, packing, quality, simhash, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,20 @@ def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality.Model:
+    labels = _table(spark, folder, "labels").where(~quality.held_out(F.col("doc_id"), 4, 2))
+    return quality.train(docs, labels)
+
+
+@_query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.with_score(docs, quality_model(spark, docs, folder))
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )

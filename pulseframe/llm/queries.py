@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import decontamination, packing, quality, simhash, substrings, suffixes
+from pulseframe.llm import decontamination, packing, quality, simhash, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,16 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").where(~quality.held_out(F.col("doc_id"), 3, 1))
+    scored = toxicity.with_score(docs, toxicity.train(spark, docs, labels))
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id"), 3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )

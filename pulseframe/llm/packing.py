@@ -10,10 +10,13 @@ it. If none does and all bins are in use, the fullest closes and a new one opens
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,31 +25,76 @@ CAPACITY = 2048
 OPEN_BINS = 1024
 #: Documents whose pieces are packed together, on average.
 GROUP_DOCUMENTS = 16_384
-#: A worker's table of encoded words is emptied at this size.
-KNOWN_WORDS = 200_000
+#: A task's table of encoded words is set back at this size to those met since the last time.
+KNOWN_WORDS = 100_000
 LONGEST_KNOWN_WORD = 64
+#: Texts whose new words are encoded together.
+TEXTS = 256
+#: Words in a line; the tokenizer takes more than twice the time for twice as long a line.
+LINE_WORDS = 64
+WORD_END = "</w>"
+#: Where marks at the end of a word follow a letter or digit.
+BEFORE_MARKS = re.compile(rb"(?<=[A-Za-z0-9])(?=[.,!?;:*$%&#]+(?:[ \t-\r]|\Z))")
 
 
 class _Words(dict):
     """Word bytes to their ids as little-endian 32-bit numbers, filled on demand."""
 
     def __init__(self, tokenizer_path: str) -> None:
+        # The tasks of an executor share its cores already; threads would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(tokenizer_path).encode
+        self.older: dict[bytes, bytes] = {}
+        self.encode = (tokenizer := Tokenizer.from_file(tokenizer_path)).encode
+        self.encode_batch = tokenizer.encode_batch_fast
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array("I", self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if ids.itemsize != 4:
-            ids = array("L", ids)
-        packed = ids.tobytes()
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
+        packed = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST_KNOWN_WORD:
             self[word] = packed
         return packed
 
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. New words that are letters throughout are encoded in lines:
+        each is one word to the tokenizer too, and only its last id marks a word's end."""
+        if len(self) >= KNOWN_WORDS:
+            self.older = dict(self)
+            self.clear()
+        words = [_plain(text).split() for text in texts]
+        new = {w for w in set().union(*words) if w not in self}
+        self.update((w, self.older[w]) for w in new.intersection(self.older))
+        simple = [w for w in new.difference(self.older) if len(w) <= LONGEST_KNOWN_WORD and _letters(w)]
+        if simple:
+            lines = [b" ".join(simple[i : i + LINE_WORDS]).decode() for i in range(0, len(simple), LINE_WORDS)]
+            found = self.encode_batch(lines, add_special_tokens=False)
+            ids = np.concatenate([np.array(line.ids, "<u4") for line in found])
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            data = ids.tobytes()
+            self.update(zip(simple, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        return [b"".join(map(self.__getitem__, w)) for w in words]
+
+
+def _plain(text: bytes) -> bytes:
+    """The text with the same ids but fewer words: capitals lowered, and marks at the end of a
+    word set apart. Left alone are texts with special tokens, and capitals where one of them
+    may take an accent that stands behind it."""
+    if b"<|" in text:
+        return text
+    if b"\xcc" not in text and b"\xcd" not in text:
+        text = text.lower()
+    return BEFORE_MARKS.sub(b" ", text)
+
+
+def _letters(word: bytes) -> bool:
+    if word.isascii():
+        return word.isalpha()
+    text = word.decode()
+    return text.isalpha() and max(text) <= "\xff"
+
 
 def token_pieces(
     docs: DataFrame,
@@ -63,9 +111,9 @@ def token_pieces(
     ``ids array<int>``; other columns are left out, whatever their names. Null and empty
     texts are the single id ``end_id``. Repeated rows and ids give their pieces each time.
 
-    The tokenizer must drop ASCII white space and never join across it, as vocabularies
-    with word-end marks do; then a text's ids are those of its words, each encoded once
-    per worker. The path must exist on every executor.
+    The tokenizer must lower-case, drop white space, split letters from marks and end words
+    with ``</w>``; then a text's ids are those of its words, each encoded once per task.
+    The path must exist on every executor.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
@@ -76,9 +124,10 @@ def token_pieces(
         for batch in batches:
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
             texts = batch.column(1).cast(pa.large_binary())
-            for row in range(batch.num_rows):
-                text = texts[row].as_py() or b""
-                packed = b"".join(map(words.__getitem__, text.split())) + end
+            some = (texts.slice(i, TEXTS).to_pylist() for i in range(0, len(texts), TEXTS))
+            groups = (words.packed([text or b"" for text in part]) for part in some)
+            for row, packed in enumerate(chain.from_iterable(groups)):
+                packed += end
                 for number, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at : at + 4 * capacity]
                     owner.append(row)
@@ -87,7 +136,7 @@ def token_pieces(
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     if with_ids:
-                        ids.append(array("i", part).tolist())
+                        ids.append(np.frombuffer(part, "<u4").tolist())
             columns = [
                 batch.column(0).take(pa.array(owner, pa.int64())),
                 pa.array(piece, pa.int32()),

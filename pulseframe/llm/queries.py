@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import decontamination, packing, quality, simhash, substrings, suffixes, toxicity
+from pulseframe.llm import decontamination, mtree, packing, quality, simhash, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,16 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | F.abs(x).isin(float("inf")))
+    rows = rows.where(F.col("embedding").isNotNull() & ~broken).select(
+        "vec_id", F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("vector")
+    )
+    return mtree.top_inner_products(spark, rows, rows.where("vec_id % 50 = 0"))
+
+
+ORACLES["op9_exact_topk"] = mtree.ORACLE

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import decontamination, mtree, packing, quality, simhash, substrings, suffixes, toxicity
+from pulseframe.llm import decontamination, mtree, packing, quality, revisits, simhash, substrings, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,15 @@ def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op9_exact_topk"] = mtree.ORACLE
+
+
+@_query
+def op1_revisit_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.records_of_pages(_table(spark, folder, "pages")))
+    fields = F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit(": "), x["value"]))
+    return found.select(
+        "record_id", "refers_to", "outcome", F.array_join(fields, "\n").alias("headers"), F.col("payload_digest").alias("payload_sha256")
+    )
+
+
+ORACLES["op1_revisit_resolution"] = revisits.ORACLE

@@ -4,10 +4,12 @@ The perfect binary Golay code covers every 23-bit word within distance 3 of exac
 codeword. The indices of all codewords within distance 4 of a word (one, or six) are its
 keys, and two words at distance 1 always share one: the codeword nearest to the first.
 
-A 64-bit fingerprint is cut into four segments. If two fingerprints differ in at most three
-bits, some segment agrees and another differs in at most one bit. So the keys of a
-fingerprint are, for each ordered pair of segments, the first as it is with each Golay index
-of the second: 12 pairs and 64 keys on average. Fingerprints that share a key are compared.
+A 64-bit fingerprint is cut into five segments. If two fingerprints differ in at most three
+bits, two segments agree, and of any two others one differs in at most one bit. So the keys
+of a fingerprint are, for each pair of segments, the pair as it is with each Golay index of
+the first and of the second remaining segment: 20 choices and about 106 keys of 38 bits,
+which fingerprints share by chance once in a billion pairs. Those that share a key are
+compared.
 
 Texts with equal fingerprints are joined first, so that copies cost nothing. Keys held by
 more fingerprints than one task should compare are left to another exact way: each of their
@@ -35,7 +37,8 @@ SEED = 42
 LARGEST_GROUP = 2048
 #: Generator polynomial of the code.
 GOLAY = 0xC75
-SEGMENT = 16
+SEGMENT = 13
+SEGMENTS = 5
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -104,7 +107,7 @@ def syndrome(word: int) -> int:
 
 
 def golay_indices() -> np.ndarray:
-    """For each 16-bit word, the indices of the codewords within distance 4; -1 fills rows of one."""
+    """For each word of a segment, the indices of the codewords within distance 4; -1 fills rows of one."""
     offsets = golay_offsets()
     out = np.full((1 << SEGMENT, 6), -1, np.int64)
     for word in range(1 << SEGMENT):
@@ -115,20 +118,25 @@ def golay_indices() -> np.ndarray:
 
 def fuzzy_keys(prints: DataFrame) -> DataFrame:
     """``key long, fp long`` for each fingerprint of the column ``fp``."""
+    choices = [
+        (i, k, j) for i, k in combinations(range(SEGMENTS), 2) for j in [x for x in range(SEGMENTS) if x not in (i, k)][:2]
+    ]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indices = golay_indices()
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 fp = batch.column(0).slice(start, 4096).to_numpy()
-                parts = [(fp >> (SEGMENT * i)) & 0xFFFF for i in range(4)]
-                near = [indices[p] for p in parts]
-                for i in range(4):
-                    for j in range(4):
-                        if i != j:
-                            key = (((i * 4 + j) << SEGMENT | parts[i]) << 12)[:, None] | near[j]
-                            row, _ = real = np.nonzero(near[j] >= 0)
-                            yield pa.RecordBatch.from_arrays([pa.array(key[real]), pa.array(fp[row])], names=["key", "fp"])
+                parts = [(fp >> (SEGMENT * i)) & ((1 << SEGMENT) - 1) for i in range(SEGMENTS)]
+                # The last segment is a bit shorter; the shift has repeated the sign there.
+                parts[-1] &= (1 << (64 - SEGMENT * (SEGMENTS - 1))) - 1
+                for number, (i, k, j) in enumerate(choices):
+                    near = indices[parts[j]]
+                    alike = (number << 2 * SEGMENT | parts[i] << SEGMENT | parts[k]) << 12
+                    row, _ = real = np.nonzero(near >= 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((alike[:, None] | near)[real]), pa.array(fp[row])], names=["key", "fp"]
+                    )
 
     return prints.select("fp").mapInArrow(keyed, "key long, fp long")
 
@@ -213,7 +221,8 @@ def _large_groups(prints: DataFrame) -> DataFrame:
 
 def fingerprint_edges(prints: DataFrame, largest_group: int = LARGEST_GROUP) -> DataFrame:
     """``a, b``: edges that join the distinct fingerprints in ``fp`` just as all links do."""
-    keys = fuzzy_keys(prints)
+    # One row becomes a hundred, so rows are dealt to as many tasks as the keys need.
+    keys = fuzzy_keys(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keys = keys.join(shared, "key")
     small = _small_groups(keys.where(F.col("n") <= largest_group).select("key", "fp"), BITS)

@@ -1,36 +1,31 @@
-"""Joins against small sides, and dense row numbers without one task per key."""
+"""Dense row numbers without one task per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 10_000
 CHUNK_ROWS = 1 << 18
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` ready to be joined: broadcast when it has at most ``max_rows`` rows.
-
-    Reads at most one row more than the bound. A larger side is returned as it is and
-    joins by shuffle, where adaptive execution splits skewed partitions.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def dense_index(df: DataFrame, key: str, unique_id: str, name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number the rows of each key from 0 in the order of a unique integer id.
 
-    A plain window would put a whole key into one task. Here ids are cut into ranges of
-    ``chunk_rows``; rows are numbered within (key, range) and shifted by the number of
-    rows in the key's earlier ranges. A range holds at most ``chunk_rows`` rows because
-    ids are unique. Ids should be dense, as row ids are: the number of ranges is what the
-    offset window of a key has to sort.
+    A plain window would put a whole key into one task. Here the ids of a key are cut into as
+    many even ranges as its rows fill at ``chunk_rows`` each; rows are numbered within (key,
+    range) and shifted by the number of rows in the key's earlier ranges. So the offset window
+    of a key sorts few rows however sparse its ids are, and a range holds about ``chunk_rows``
+    rows where ids are spread evenly.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(unique_id) / chunk_rows))
+    spans = df.groupBy(key).agg(
+        F.min(unique_id).alias("_low"),
+        # Whole numbers throughout: ids may be larger than doubles can tell apart.
+        F.greatest(
+            F.lit(1),
+            F.expr(f"(max(`{unique_id}`) - min(`{unique_id}`)) div greatest(1, ceil(count(1) / {chunk_rows})) + 1"),
+        ).alias("_width"),
+    )
+    chunked = df.join(spans, key).withColumn("_chunk", F.expr(f"(`{unique_id}` - _low) div _width")).drop("_low", "_width")
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         chunked.groupBy(key, "_chunk")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.operators.bounded import CHUNK_ROWS, small_side
+from pulseframe.operators.bounded import CHUNK_ROWS
 from pulseframe.operators.catalog import INTENSITY_RANK
 
 ROLLING = 50
@@ -50,7 +50,7 @@ def with_intensity_mismatch(states: DataFrame) -> DataFrame:
 
 
 def policy_sizes(episodes: DataFrame) -> DataFrame:
-    return small_side(episodes.groupBy("policy").agg(F.count(F.lit(1)).alias("n")))
+    return episodes.groupBy("policy").agg(F.count(F.lit(1)).alias("n"))
 
 
 def policy_metrics(episodes: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def convergence_episode(episodes: DataFrame, window: int = ROLLING, tail: int =
     reached = (F.col("episode") > window) & (F.col("rolling_reward") >= F.col("target"))
     return (
         rolling_reward(episodes, window)
-        .join(small_side(target), "policy")
+        .join(target, "policy")
         .groupBy("policy")
         .agg(
             F.max("target").alias("target"),

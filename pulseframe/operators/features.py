@@ -18,19 +18,61 @@ HIGH_LOAD_CALORIES = 400.0
 
 # The output columns of the feature table by group.
 RECOVERY = (
-    "hrv hrv_7d_mean hrv_7d_zscore hrv_trend resting_hr rhr_deviation rhr_7d_mean "
-    "sleep_duration_hours sleep_debt sleep_7d_mean readiness_score readiness_7d_mean readiness_trend"
-).split()
+    "hrv",
+    "hrv_7d_mean",
+    "hrv_7d_zscore",
+    "hrv_trend",
+    "resting_hr",
+    "rhr_deviation",
+    "rhr_7d_mean",
+    "sleep_duration_hours",
+    "sleep_debt",
+    "sleep_7d_mean",
+    "readiness_score",
+    "readiness_7d_mean",
+    "readiness_trend",
+)
 LOAD = (
-    "steps steps_7d_sum steps_7d_mean active_calories calories_7d_sum calories_3d_sum "
-    "activity_score activity_7d_mean acwr"
-).split()
-CONSISTENCY = "completion_7d_rate streak days_since_training".split()
-CALENDAR = "day_of_week is_weekend day_of_month month".split()
-FLAGGED = "hrv resting_hr sleep_duration_hours readiness_score steps".split()
+    "steps",
+    "steps_7d_sum",
+    "steps_7d_mean",
+    "active_calories",
+    "calories_7d_sum",
+    "calories_3d_sum",
+    "activity_score",
+    "activity_7d_mean",
+    "acwr",
+)
+CONSISTENCY = (
+    "completion_7d_rate",
+    "streak",
+    "days_since_training",
+)
+CALENDAR = (
+    "day_of_week",
+    "is_weekend",
+    "day_of_month",
+    "month",
+)
+FLAGGED = (
+    "hrv",
+    "resting_hr",
+    "sleep_duration_hours",
+    "readiness_score",
+    "steps",
+)
 FEATURES = [*RECOVERY, *LOAD, *CONSISTENCY, *CALENDAR, *[f"{c}_missing" for c in FLAGGED]]
 
-METRICS = "hrv resting_hr sleep_duration_hours readiness_score steps active_calories activity_score".split()
+# The daily metrics that features are made of.
+METRICS = (
+    "hrv",
+    "resting_hr",
+    "sleep_duration_hours",
+    "readiness_score",
+    "steps",
+    "active_calories",
+    "activity_score",
+)
 
 
 def by_user() -> WindowSpec:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions.scalars import dot, or_else
-from pulseframe.operators.catalog import ACTION_COUNT, catalogue, decorate
+from pulseframe.operators.catalog import ACTION_COUNT, ALL_IDS, catalogue, decorate, id_array
 
 GRID_STEPS = 1024
 CONTEXT_SIZE = 7
@@ -99,10 +99,11 @@ def action_statistics(posterior: DataFrame) -> DataFrame:
 
 
 def as_vector(per_action: DataFrame, value: Column) -> Column:
-    """A scalar subquery with one array element per action, in id order (18 elements)."""
-    rows = per_action.select("action_id", value.alias("v"))
-    ordered = F.array_sort(F.collect_list(F.struct("action_id", "v")))
-    return rows.agg(F.transform(ordered, lambda r: r["v"]).alias("v")).scalar()
+    """A scalar subquery with one array element per action of the catalogue, in id order; an
+    action without a row has a null, so that the others keep their places."""
+    rows = per_action.where(_known_action()).select("action_id", value.alias("v"))
+    by_id = F.map_from_entries(F.collect_list(F.struct("action_id", "v")))
+    return rows.agg(F.transform(id_array(ALL_IDS), lambda i: F.try_element_at(by_id, i)).alias("v")).scalar()
 
 
 def action_shares(decisions: DataFrame, posterior: DataFrame) -> DataFrame:

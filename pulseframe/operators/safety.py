@@ -162,8 +162,8 @@ def allowed_coded(states: DataFrame) -> DataFrame:
 def allowed_declared(states: DataFrame) -> DataFrame:
     """Add ``allowed`` as the intersection of every limit that applies.
 
-    The limits are nested, so the intersection is the tightest one. The run of high-load
-    days counts when ``consecutive_high_days`` is present.
+    The limits are nested, so the intersection is the tightest one. ``consecutive_high_days``
+    is required, as a limit must not vanish with a column; where the run isn't known it is null.
     """
     rest_or_recovery = (
         given_above("resting_hr", MAX_RESTING_HR)
@@ -173,8 +173,7 @@ def allowed_declared(states: DataFrame) -> DataFrame:
         | given_at_least("soreness", MAX_SORENESS)
     )
     medium = given_below("readiness_score", MIN_READINESS)
-    if "consecutive_high_days" in states.columns:
-        medium = medium | given_at_least("consecutive_high_days", MAX_CONSECUTIVE_HIGH_DAYS)
+    medium = medium | given_at_least("consecutive_high_days", MAX_CONSECUTIVE_HIGH_DAYS)
     allowed = (
         F.when(F.col("overtraining_risk"), id_array(REST_ONLY))
         .when(rest_or_recovery, id_array(REST_OR_RECOVERY))
@@ -306,8 +305,28 @@ STATE_GROUPS = {
 }
 
 
+# Types of the nested state's fields that are not whole numbers.
+STATE_TYPES = {
+    "hrv": "double",
+    "resting_hr": "double",
+    "sleep_duration_hours": "double",
+    "sleep_score": "double",
+    "readiness_score": "double",
+    "steps": "double",
+    "active_calories": "double",
+    "training_frequency_last_week": "double",
+    "avg_rpe_last_week": "double",
+    "completion_rate_last_week": "double",
+    "primary_goal": "string",
+    "current_phase": "string",
+    "injury_history": "array<string>",
+    "overtraining_risk": "boolean",
+}
+
+
 def nested_state(states: DataFrame) -> Column:
-    """The state as a record of six groups; fields the input lacks are NULL."""
-    field = lambda n: (F.col(n) if n in states.columns else F.lit(None).cast("string")).alias(n)
+    """The state as a record of six groups of fixed types; fields the input lacks are NULL."""
+    known = states.columns
+    field = lambda n: (F.col(n) if n in known else F.lit(None)).cast(STATE_TYPES.get(n, "int")).alias(n)
     groups = [F.struct(*[field(n) for n in names]).alias(group) for group, names in STATE_GROUPS.items()]
     return F.struct("user_id", "date", *groups)

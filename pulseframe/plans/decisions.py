@@ -14,7 +14,6 @@ from pulseframe.plans.inputs import source
 from pulseframe.plans.oracle_parts import (
     ACTIONS,
     ALLOWED_CODED,
-    ALLOWED_DECLARED,
     ALLOWED_DECLARED_LOAD,
     ALLOWED_MINIMAL,
     ASSESSED,
@@ -42,6 +41,11 @@ def states_with_since(spark, folder):
     return ft.with_days_since_training(states(spark, folder))
 
 
+def states_with_run(spark, folder):
+    """States with days since training and the run of high-load days."""
+    return ft.with_days_since_training(states_with_load(spark, folder))
+
+
 def beta(spark, folder):
     return pt.beta_posterior(with_reward(source(spark, folder, "fb")))
 
@@ -251,14 +255,16 @@ def context_vectors(spark, folder):
 
 RULED = {
     "since_states": SINCE_STATES,
-    "open_states": f"select *, {ALLOWED_DECLARED} as allowed from since_states",
+    "load_states": LOAD_STATES,
+    "open_states": f"""select s.*, {ALLOWED_DECLARED_LOAD} as allowed
+      from since_states s join (select user_id, date, consecutive_high_days from load_states) l using (user_id, date)""",
     "ruled": f"select *, {RULE} as action_id from open_states",
 }
 
 
 @query("rule_policy", "select user_id, date, action_id from ruled", "states", extra=RULED)
 def rule_policy(spark, folder):
-    return po.rule_policy(sf.with_allowed(states_with_since(spark, folder))).select(*KEYS, "action_id")
+    return po.rule_policy(sf.with_allowed(states_with_run(spark, folder))).select(*KEYS, "action_id")
 
 
 @query(
@@ -268,7 +274,7 @@ def rule_policy(spark, folder):
     extra={**RULED, "actions": ACTIONS},
 )
 def rationale(spark, folder):
-    chosen = decorate(po.rule_policy(sf.with_allowed(states_with_since(spark, folder))))
+    chosen = decorate(po.rule_policy(sf.with_allowed(states_with_run(spark, folder))))
     return chosen.select(*KEYS, "action_id", po.rationale().alias("rationale"))
 
 
@@ -301,13 +307,13 @@ def resolve_action(spark, folder):
 @query(
     "candidate_actions",
     f"""select user_id, date, action_id, workout_type, intensity, duration_minutes, intensity_rank
-        from (select user_id, date, unnest({ALLOWED_DECLARED}) as action_id from states) s
+        from (select user_id, date, unnest({ALLOWED_DECLARED_LOAD}) as action_id from load_states) s
         join actions using (action_id)""",
     "states",
-    extra={"actions": ACTIONS},
+    extra={"actions": ACTIONS, "load_states": LOAD_STATES},
 )
 def candidate_actions(spark, folder):
-    candidates = po.candidate_actions(sf.with_allowed(states(spark, folder)).select(*KEYS, "allowed"))
+    candidates = po.candidate_actions(sf.with_allowed(states_with_load(spark, folder)).select(*KEYS, "allowed"))
     return candidates.drop("description")
 
 
@@ -327,7 +333,8 @@ def decorate_decisions(spark, folder):
 GREEDY = {
     "actions": ACTIONS,
     **POSTERIOR,
-    "open_states": f"select *, {ALLOWED_DECLARED} as allowed from states",
+    "load_states": LOAD_STATES,
+    "open_states": f"select *, {ALLOWED_DECLARED_LOAD} as allowed from load_states",
     "scored_actions": """select s.user_id, s.date, s.action_id, alpha / (alpha + beta) as mean
         from (select user_id, date, unnest(allowed) as action_id from open_states) s join posterior using (action_id)""",
     "greedy": """select user_id, date, action_id from scored_actions
@@ -337,7 +344,7 @@ GREEDY = {
 
 @query("greedy_decision", "select user_id, date, action_id from greedy", "states fb", extra=GREEDY)
 def greedy_decision(spark, folder):
-    opened = sf.with_allowed(states(spark, folder)).select(*KEYS, "allowed")
+    opened = sf.with_allowed(states_with_load(spark, folder)).select(*KEYS, "allowed")
     return po.greedy(opened, beta(spark, folder)).drop("allowed")
 
 
@@ -349,7 +356,7 @@ def greedy_decision(spark, folder):
     GREEDY,
 )
 def action_shares(spark, folder):
-    opened = sf.with_allowed(states(spark, folder)).select(*KEYS, "allowed")
+    opened = sf.with_allowed(states_with_load(spark, folder)).select(*KEYS, "allowed")
     return pt.action_shares(opened, beta(spark, folder))
 
 
@@ -363,12 +370,12 @@ def action_shares(spark, folder):
 )
 def recommend(spark, folder):
     posterior = beta(spark, folder)
-    return po.recommend(states(spark, folder), lambda s: po.greedy(s, posterior))
+    return po.recommend(states_with_load(spark, folder), lambda s: po.greedy(s, posterior))
 
 
 @query("thompson_decision")
 def thompson_decision(spark, folder):
-    opened = sf.with_allowed(states(spark, folder)).select(*KEYS, "allowed")
+    opened = sf.with_allowed(states_with_load(spark, folder)).select(*KEYS, "allowed")
     return po.thompson(opened, beta(spark, folder), SEED, KEYS).drop("allowed")
 
 
@@ -380,7 +387,7 @@ def decisions_with_context(spark, folder):
 @query("linear_thompson_decision")
 def linear_thompson_decision(spark, folder):
     linear = pt.linear_posterior(pt.linear_statistics(decisions_with_context(spark, folder)))
-    opened = sf.with_allowed(states_with_since(spark, folder)).withColumn("context", pt.context_vector())
+    opened = sf.with_allowed(states_with_run(spark, folder)).withColumn("context", pt.context_vector())
     return po.linear_thompson(opened.select(*KEYS, "allowed", "context"), linear, SEED, KEYS).select(*KEYS, "action_id")
 
 

@@ -179,8 +179,6 @@ ALLOWED_CODED = f"""case recommended_action when 'mandatory_rest_day' then [0]
 _REST_OR_RECOVERY = """resting_hr > 100 or (hrv < 20 and hrv <> 0)
   or (sleep_duration_hours < 4 and sleep_duration_hours <> 0) or fatigue >= 8 or soreness >= 8"""
 _LOW_READINESS = "readiness_score < 50 and readiness_score <> 0"
-ALLOWED_DECLARED = f"""case when overtraining_risk then [0] when {_REST_OR_RECOVERY} then {LOW3}
-  when {_LOW_READINESS} then {MEDIUM} else {ALL} end"""
 ALLOWED_DECLARED_LOAD = f"""case when overtraining_risk then [0] when {_REST_OR_RECOVERY} then {LOW3}
   when ({_LOW_READINESS}) or consecutive_high_days >= 3 then {MEDIUM} else {ALL} end"""
 ALLOWED_MINIMAL = f"""case when coalesce(readiness_score, 50) < 30 or coalesce(fatigue, 5) > 8 then {LOW3}

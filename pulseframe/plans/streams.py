@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.operators.policy import greedy, recommend
 from pulseframe.operators.reward import with_reward
-from pulseframe.plans.decisions import ALERT_SQL, CHECKED, GREEDY, beta, states
+from pulseframe.plans.decisions import ALERT_SQL, CHECKED, GREEDY, beta, states_with_load
 from pulseframe.plans.daily import MEASURE_DOUBLES, MEASURES
 from pulseframe.plans.ingest import ROUTED_EXTRA, ROUTED_SQL, coach_events, landed
 from pulseframe.plans.inputs import INPUTS, source
@@ -24,7 +24,7 @@ def table_stream(spark, folder, name):
 
 def state_stream(spark, folder):
     """States land as a table that a stream then reads."""
-    path = landed(spark, folder, "state-stream", lambda p: states(spark, folder).write.parquet(p))
+    path = landed(spark, folder, "state-stream", lambda p: states_with_load(spark, folder).write.parquet(p))
     return parquet_stream(spark, path, spark.read.parquet(path).schema)
 
 
@@ -61,7 +61,7 @@ def stream_feedback_messages(spark, folder):
 )
 def plan_messages_of_states(spark, folder):
     posterior = beta(spark, folder)
-    plans = recommend(states(spark, folder), lambda s: greedy(s, posterior))
+    plans = recommend(states_with_load(spark, folder), lambda s: greedy(s, posterior))
     served = plans.select(
         "user_id", "date", "action_id", "workout_type", "intensity", "duration_minutes", "description"
     )

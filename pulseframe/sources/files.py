@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseframe.functions.scalars import to_number, to_whole, wall_clock_date
 
@@ -29,30 +34,64 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_csv_by_name(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV files with headers, aligned by column name; a column that a file lacks is null.
+
+    Files that share a header are read together. The headers come from one pass over the first
+    block of each file, reduced to one row per file where it is read.
+    """
+    first = (
+        spark.read.text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        .withColumn("row", F.monotonically_increasing_id())
+        .where("start = 0")
+        .groupBy("file")
+        .agg(F.min_by("value", "row").alias("header"))
+    )
+    by_header: dict[str, list[str]] = defaultdict(list)
+    for row in first.orderBy("file").toLocalIterator():
+        by_header[row["header"]].append(unquote(row["file"]))
+    if not by_header:
+        return spark.createDataFrame([], T.StructType([]))
+    parts = [
+        spark.read.option("header", True).option("enforceSchema", False).csv(files) for files in by_header.values()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def scan_participants(spark: SparkSession, root: str, file: str = "fitbit/sleep_score.csv") -> DataFrame:
     """One file of every participant directory ``p*``; the directory names the user.
 
     ``timestamp`` stays text and every other column becomes a number.
     """
-    raw = spark.read.option("header", True).csv(f"{root}/p*/{file}")
+    raw = read_csv_by_name(spark, f"{root}/p*/{file}")
     inner = file.split("/")[0].replace("*", "[^/]*")
     return raw.select(
         "timestamp",
         *[to_number(F.col(f"`{c}`")).alias(c) for c in raw.columns if c != "timestamp"],
-        F.regexp_extract(F.col("_metadata.file_path"), rf"/(p[^/]*)/{inner}/", 1).alias("user_id"),
+        F.regexp_extract(F.input_file_name(), rf"/(p[^/]*)/{inner}/", 1).alias("user_id"),
         wall_clock_date("timestamp").alias("date"),
     )
 
 
 def scan_training_log(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
-    """The training log. ``extra`` prepends columns, such as ``user_id bigint``."""
-    schema = f"{extra}, {TRAINING_LOG}" if extra else TRAINING_LOG
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """The training log, by the names in its headers; what can't be read as a column's type is null.
+
+    ``extra`` prepends columns, such as ``user_id bigint``. Columns that the log lacks are null.
+    """
+    raw = read_csv_by_name(spark, path)
+    fields = T.StructType.fromDDL(f"{extra}, {TRAINING_LOG}" if extra else TRAINING_LOG)
+    return raw.select(
+        *[
+            (F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in fields
+        ]
+    )
 
 
 def import_history_csv(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """An uploaded history file: whole numbers, defaults for columns the file lacks."""
-    raw = spark.read.option("header", True).csv(path)
+    """Uploaded history files: whole numbers, defaults for columns that all files lack."""
+    raw = read_csv_by_name(spark, path)
     metrics = [
         to_whole(name).alias(name) if name in raw.columns else F.lit(default).alias(name)
         for name, default in HISTORY_DEFAULTS.items()

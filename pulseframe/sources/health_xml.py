@@ -29,7 +29,7 @@ VIEWS = {
 }
 
 ATTRIBUTES = "type string, value string, startDate string, endDate string, sourceName string"
-OPENING_TAG = r"""^((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))+)\s*/?>"""
+OPENING_TAG = r"""^Record((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))+)\s*/?>"""
 
 
 def _records(raw: DataFrame) -> DataFrame:
@@ -51,11 +51,12 @@ def _short_name(column: str) -> Column:
 def scan_health_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every Record of the exports as six string columns.
 
-    An export is one large file. The text reader splits it by the start of a Record, so
-    one export is read by many tasks; the XML parser then sees one opening tag at a time,
-    which holds all attributes.
+    An export is one large file. The text reader splits it at each ``<``, which stands in no
+    attribute and no text, so one export is read by many tasks and no row is longer than a tag
+    with the text behind it. The XML parser then sees one opening tag at a time, which holds
+    all attributes. Records that don't parse are left to :func:`quarantined_records`.
     """
-    pieces = spark.read.option("lineSep", "<Record").text(path)
+    pieces = _record_pieces(spark, path)
     tag = F.nullif(F.regexp_extract("value", OPENING_TAG, 1), F.lit(""))
     element = F.concat(F.lit("<Record"), tag, F.lit("/>"))
     record = F.from_xml(element, ATTRIBUTES, {"attributePrefix": ""})
@@ -63,6 +64,16 @@ def scan_health_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _records(pieces.select(F.inline(F.array_compact(F.array(record)))))
 
 
+def _record_pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.option("lineSep", "<").text(path).where(F.col("value").rlike(r"^Record[\s/>]"))
+
+
+def quarantined_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, piece``: Records of the exports whose opening tag can't be read."""
+    pieces = _record_pieces(spark, path).select("value", F.col("_metadata.file_path").alias("file"))
+    return pieces.where(~F.col("value").rlike(OPENING_TAG)).select("file", F.concat(F.lit("<"), "value").alias("piece"))
+
+
 def scan_health_xml_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The same through the built-in XML source, which reads each file in one task."""
     raw = (

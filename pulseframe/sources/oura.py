@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions.scalars import to_number, wall_clock_date
+from pulseframe.sources.files import read_csv_by_name
 
 # Headers of the trends file and their canonical names.
 TREND_COLUMNS = {
@@ -65,7 +66,7 @@ PAYLOADS = {
 
 
 def _one_trends_file(spark: SparkSession, path: str, sleep_divisor: float, keep: tuple[str, ...]) -> DataFrame:
-    raw = spark.read.option("header", True).csv(path)
+    raw = read_csv_by_name(spark, path)
     known = {h: n for h, n in TREND_COLUMNS.items() if h in raw.columns}
     extra = [F.col(c) for c in keep if c in raw.columns]
     measures = [to_number(F.col(f"`{h}`")).alias(n) for h, n in known.items()]
@@ -80,7 +81,7 @@ def scan_oura_trends(
 ) -> DataFrame:
     """Trends files under canonical names; headers a file lacks are left out.
 
-    Files with different headers go in as separate paths and are aligned by name.
+    Files with different headers are aligned by name.
     ``sleep_divisor`` converts the sleep duration to hours (1 leaves it as delivered).
     """
     listed = [paths] if isinstance(paths, str) else paths

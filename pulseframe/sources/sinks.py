@@ -8,7 +8,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.operators.bounded import small_side
 from pulseframe.operators.quality import latest_per_key
 
 # Defaults of an exercise entry.
@@ -107,16 +106,23 @@ def read_snapshot(spark: SparkSession, path: str, as_of: dt.date | None = None)
 def upsert_states(states: DataFrame, path: str, version: str = "created_at") -> None:
     """Merge states into a table that keeps the newest row per (user_id, date).
 
-    Only the day partitions that ``states`` touches are read and replaced.
+    Only day partitions between the first and the last day of ``states`` are read, and only those
+    that it touches are replaced. Rows of one version are ordered by a hash of all their columns.
     """
     keys = ["user_id", "date"]
     try:
         stored = states.sparkSession.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        # Any other fault must not pass for a first write, which would drop the stored rows.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = None
     if stored is not None:
-        touched = small_side(states.select("date").distinct())
-        states = states.unionByName(stored.join(touched, "date", "left_semi").select(*states.columns))
-    newest = latest_per_key(states, keys, [version])
+        touched = states.select("date").distinct()
+        days = [states.select(f("date")).scalar() for f in (F.min, F.max)]
+        within = stored.where(F.col("date").between(*days)).join(touched, "date", "left_semi")
+        states = states.unionByName(within.select(*states.columns))
+    tie = F.xxhash64(*[F.col(c).cast("string") for c in sorted(states.columns)])
+    newest = latest_per_key(states.withColumn("_tie", tie), keys, [version, "_tie"]).drop("_tie")
     writer = _rebalanced(newest, "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("date").parquet(path)

@@ -68,10 +68,10 @@ def test_dense_index_across_ranges(spark):
         assert [r.n for r in rows if r.k == k] == list(range(sum(r.k == k for r in rows)))
 
 
-def test_small_side_beyond_its_bound(spark):
-    df = spark.range(10)
-    assert bd.small_side(df, 5) is df
-    assert bd.small_side(df, 10).count() == 10
+def test_dense_index_with_sparse_ids(spark):
+    df = spark.range(0, 1000, 3).select((F.col("id") * (1 << 22)).alias("id"), F.lit("a").alias("k"))
+    numbered = bd.dense_index(df, "k", "id", "n", chunk_rows=50)
+    assert [r.n for r in numbered.orderBy("id").collect()] == list(range(334))
 
 
 def test_reference_policy(spark):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.functions.scalars import one_decimal
+from pulseframe.operators import features as ft
 from pulseframe.operators import policy as po
 from pulseframe.operators import posterior as pt
 from pulseframe.operators import safety as sf
@@ -93,7 +94,7 @@ def test_beta_quantiles(a, b):
 
 
 def thompson_inputs(spark, folder):
-    opened = sf.with_allowed(source(spark, folder, "states")).select("user_id", "date", "allowed")
+    opened = sf.with_allowed(ft.with_high_load_days(source(spark, folder, "states"))).select("user_id", "date", "allowed")
     return opened, pt.beta_posterior(with_reward(source(spark, folder, "fb")))
 
 

@@ -54,7 +54,7 @@ def test_two_source_alignment_joins_without_further_shuffles(spark, folder):
 
 
 def test_decisions_do_not_shuffle_the_states(spark, folder, tmp_path):
-    source(spark, folder, "states").write.parquet(str(tmp_path / "states"))
+    ft.with_high_load_days(source(spark, folder, "states")).write.parquet(str(tmp_path / "states"))
     states = spark.read.parquet(str(tmp_path / "states"))
     posterior = pt.beta_posterior(with_reward(source(spark, folder, "fb")))
     text = plan(po.recommend(states, lambda s: po.greedy(s, posterior)))

@@ -26,7 +26,8 @@ GOOD = dict(
 
 def state(spark, **change):
     values = {**GOOD, **change}
-    return spark.createDataFrame([(1, dt.date(2024, 1, 1), *values.values())], STATE)
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 1), *values.values())], STATE)
+    return df.withColumn("consecutive_high_days", F.lit(0))
 
 
 def outcome(spark, **change):

@@ -183,3 +183,44 @@ def test_training_log(spark, tmp_path):
     assert (got.date, got.exercise_name, got.weight_kg, got.muscle_soreness, got.total_duration_minutes) == (
         dt.datetime(2024, 1, 1, 10, 30), "Bench Press", 80.0, None, 60,
     )
+
+
+def test_csv_files_are_read_by_name(spark, tmp_path):
+    write(tmp_path / "h" / "a.csv", "readiness_score,hrv\n90,40\n")
+    write(tmp_path / "h" / "b.csv", "hrv,readiness_score,workout_type\n41,91,Run\n")
+    rows = files.import_history_csv(spark, str(tmp_path / "h")).orderBy("hrv").collect()
+    assert [(r.readiness_score, r.hrv, r.workout_type) for r in rows] == [(90, 40, None), (91, 41, "Run")]
+    write(tmp_path / "r" / "p01" / "fitbit" / "sleep_score.csv", "timestamp,overall_score,deep\n2024-01-01T00:00:00Z,70,50\n")
+    write(tmp_path / "r" / "p02" / "fitbit" / "sleep_score.csv", "timestamp,deep,overall_score\n2024-01-01T00:00:00Z,51,71\n")
+    rows = files.scan_participants(spark, str(tmp_path / "r")).orderBy("user_id").collect()
+    assert [(r.user_id, r.overall_score, r.deep) for r in rows] == [("p01", 70.0, 50.0), ("p02", 71.0, 51.0)]
+    write(tmp_path / "log.csv", "reps,date,exercise_name\n5,2024-01-01 10:00:00,Squat\nmany,2024-01-02 10:00:00,Row\n")
+    rows = files.scan_training_log(spark, str(tmp_path / "log.csv")).orderBy("date").collect()
+    assert [(r.reps, r.exercise_name, r.sets) for r in rows] == [(5, "Squat", None), (None, "Row", None)]
+
+
+def test_long_tail_and_malformed_records(spark, tmp_path):
+    good = '<Record type="HKQuantityTypeIdentifierStepCount" sourceName="s" startDate="x" value="{}"/>\n'
+    tail = "".join(f'<Workout n="{i}"/>\n' for i in range(20_000))
+    path = write(tmp_path / "e.xml", "<HealthData>\n" + good.format(1) + "<Record type=broken/>\n" + good.format(2) + tail + "</HealthData>")
+    assert [r.value for r in health_xml.scan_health_xml(spark, path).collect()] == ["1", "2"]
+    assert [r.piece.strip() for r in health_xml.quarantined_records(spark, path).collect()] == ["<Record type=broken/>"]
+    longest = health_xml._record_pieces(spark, path).agg(F.max(F.length("value"))).first()[0]
+    assert longest < 200
+
+
+def test_upsert_reads_touched_days_and_keeps_rows_on_faults(spark, tmp_path):
+    path = str(tmp_path / "states")
+    schema = "user_id bigint, hrv int, created_at int, date date"
+    day = dt.date(2024, 1, 1)
+    sinks.upsert_states(spark.createDataFrame([(1, 40, 1, day), (2, 50, 1, day)], schema), path)
+    sinks.upsert_states(spark.createDataFrame([(1, 41, 2, day)], schema), path)
+    rows = spark.read.parquet(path).orderBy("user_id").collect()
+    assert [(r.user_id, r.hrv) for r in rows] == [(1, 41), (2, 50)]
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        sinks.upsert_states(spark.createDataFrame([(1, 41, 2, day)], schema), str(broken))

@@ -31,7 +31,7 @@ UNLABELLED = 40_000
 BINS = 16
 STEPS = 400
 RATE = 0.05
-DECAY = 1e-4
+DECAY = 1e-3
 #: Score from which a text is taken as good.
 THRESHOLD = 0.7
 

@@ -26,8 +26,8 @@ RATE = 0.3
 DECAY = 1e-5
 
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -101,8 +101,11 @@ def blocks(html: str, known: dict | None = None) -> list[Block]:
         links -= sum(x[0] == "a" for x in stack[index:])
         del stack[index:]
 
+    # Behind the last ">" no tag ends, and none need be looked for.
+    last = html.rfind(">") + 1
+    stop = len(html) if html.rfind("<!--") >= last else last
     while True:
-        found = TOKEN.search(html, at)
+        found = TOKEN.search(html, at, stop) if at < stop else None
         text = html[at : found.start()] if found else html[at:]
         if text:
             parts.append(text)

@@ -142,13 +142,14 @@ def _chunk_row(texts: list[bytes], anchors: Anchors) -> list[bytes]:
     order = np.lexsort((content[first], key[first]))
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
+    small = np.int32  # a chunk is smaller than 2 GB, as a text is
     first = first[order]
     often = (times[order] > 1).astype(np.uint8) | again[first].astype(np.uint8) << 1
-    parts = (start, windows, place[pair], key[first], content[first], windows[first], often)
+    parts = (start.astype(small), place[pair], key[first], content[first], windows[first].astype(small), often)
     return [zstandard.ZstdCompressor(level=3).compress(data), *(p.tobytes() for p in parts)]
 
 
-PARTS = "blob starts windows pairs keys contents pair_windows often".split()
+PARTS = "blob starts pairs keys contents pair_windows often".split()
 
 
 def _as_chunks(source: DataFrame, chunk_bytes: int, minimum: int, anchor: int) -> DataFrame:
@@ -184,7 +185,7 @@ def _judged(key: tuple[pa.Scalar, ...], table: pa.Table, minimum: int) -> pa.Tab
     """``chunk, bucket, codes``: what is to be done with each segment sent to a bucket."""
     sizes = [len(c.as_py()) // 8 for c in table.column("keys")]
     join = lambda name, kind: np.concatenate([_array(c, kind) for c in table.column(name)])
-    keys, contents, lengths, often = join("keys", np.uint64), join("contents", np.uint64), join("pair_windows", np.int64), join("often", np.uint8)
+    keys, contents, lengths, often = join("keys", np.uint64), join("contents", np.uint64), join("pair_windows", np.int32), join("often", np.uint8)
     chunk = np.repeat(table.column("chunk").to_numpy(), sizes)
     order = np.lexsort((chunk, contents, keys))
     key_of = np.cumsum(np.diff(keys[order], prepend=~keys[order[:1]]) != 0) - 1
@@ -211,7 +212,7 @@ def _codes(answers: pa.Table, name: str, keys: np.ndarray, buckets: int) -> list
 
 
 def _crowded_starts(starts: np.ndarray, windows: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    s, n = starts[crowded], windows[crowded]
+    s, n = starts[crowded], windows[crowded].astype(np.int64)
     return np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
@@ -225,7 +226,7 @@ def _shared_ranges(table: pa.Table, sent: pa.Table, minimum: int) -> dict[int, t
     strings: list[tuple[int, int, bytes]] = []
     press = zstandard.ZstdDecompressor()
     for keys, contents, lengths, blob in zip(*(sent.column(c) for c in ("keys", "contents", "pair_windows", "blob"))):
-        sizes = (_array(lengths, np.int64) + minimum - 1).tolist()
+        sizes = (_array(lengths, np.int32) + minimum - 1).tolist()
         data, at = press.decompress(blob.as_py(), max_output_size=max(1, sum(sizes))), 0
         for k, c, n in zip(_array(keys, np.uint64).tolist(), _array(contents, np.uint64).tolist(), sizes):
             strings.append((k, c, data[at : at + n]))
@@ -298,7 +299,7 @@ def suffix_array_dedup(
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, keys, contents, lengths, often in zip(*batch.columns):
-                parts = [_array(keys, np.uint64), _array(contents, np.uint64), _array(lengths, np.int64), _array(often, np.uint8)]
+                parts = [_array(keys, np.uint64), _array(contents, np.uint64), _array(lengths, np.int32), _array(often, np.uint8)]
                 blocks = by_bucket(parts[0], buckets)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -312,8 +313,8 @@ def suffix_array_dedup(
     def given(table: pa.Table, answers: pa.Table) -> pa.Table:
         row = {c: table.column(c)[0] for c in table.column_names}
         chunk = row["chunk"].as_py()
-        keys, contents, lengths = _array(row["keys"], np.uint64), _array(row["contents"], np.uint64), _array(row["pair_windows"], np.int64)
-        starts, windows, pairs = _array(row["starts"], np.int64), _array(row["windows"], np.int64), _array(row["pairs"], np.int32)
+        keys, contents, lengths = _array(row["keys"], np.uint64), _array(row["contents"], np.uint64), _array(row["pair_windows"], np.int32)
+        starts, pairs = _array(row["starts"], np.int32).astype(np.int64), _array(row["pairs"], np.int32)
         codes = np.frombuffer(b"".join(_codes(answers, "codes", keys, buckets)), np.uint8)
         sizes = np.array(row["sizes"].as_py(), np.int64)
         data = zstandard.ZstdDecompressor().decompress(row["blob"].as_py(), max_output_size=max(1, int(sizes.sum())))
@@ -328,7 +329,7 @@ def suffix_array_dedup(
                 new = (False, bucket, chunk, keys[mine].tobytes(), contents[mine].tobytes(), lengths[mine].tobytes())
                 for name, value in zip(out, (*new, zstandard.ZstdCompressor(level=1).compress(text), None, None)):
                     out[name].append(value)
-        places = _crowded_starts(starts, windows, codes[pairs] == CROWDED)
+        places = _crowded_starts(starts, lengths[pairs], codes[pairs] == CROWDED)
         hashes, times = np.unique(
             Anchors(minimum, anchor).window_hashes(np.frombuffer(data, np.uint8), sizes, places), return_counts=True
         )
@@ -356,7 +357,8 @@ def suffix_array_dedup(
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         row = {c: table.column(c)[0] for c in table.column_names if c != "ids"}
         keys = _array(row["keys"], np.uint64)
-        starts, windows, pairs = _array(row["starts"], np.int64), _array(row["windows"], np.int64), _array(row["pairs"], np.int32)
+        starts, pairs = _array(row["starts"], np.int32).astype(np.int64), _array(row["pairs"], np.int32)
+        windows = _array(row["pair_windows"], np.int32)[pairs]
         sizes = np.array(row["sizes"].as_py(), np.int64)
         data = np.frombuffer(
             zstandard.ZstdDecompressor().decompress(row["blob"].as_py(), max_output_size=max(1, int(sizes.sum()))), np.uint8
@@ -433,7 +435,7 @@ def suffix_array_dedup(
         .unionByName(flags.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     )
     done = (
-        chunks.drop("contents", "often", "pair_windows")
+        chunks.drop("contents", "often")
         .groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInArrow(

@@ -26,8 +26,8 @@ from pulseframe.llm.components import saved
 
 TREE_ROWS = 4096
 QUERY_ROWS = 4096
-LEAF = 64
-FANOUT = 16
+LEAF = 256
+FANOUT = 32
 
 
 def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:

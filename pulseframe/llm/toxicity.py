@@ -126,7 +126,7 @@ class Describer:
             sum(w in SECOND_PERSON for w in set(words)) / n,
             float(disguised),
             sum(map(str.isupper, raw)) / n,
-            sum(map(str.isupper, text)) / size if size < 1 << 16 else sum(map(str.isupper, raw)) / n,
+            sum(map(str.isupper, text)) / size,
             text.count("!") / n,
             text.count("?") / n,
             sum(not w.isalpha() for w in set(words)) / n,

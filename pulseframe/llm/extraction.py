@@ -39,7 +39,11 @@ INLINE = frozenset(
     "strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("head script style noscript template svg math iframe object textarea select title canvas audio video".split())
+UNREAD = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video".split())
+#: Where unread elements end. A title ends with its head at the latest.
+HEAD_END = r"</head(?=[\s/>])|<body(?=[\s/>])"
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])" + f"|{HEAD_END}" * (t == "title"), re.I | re.A) for t in UNREAD}
+LEFT_OPEN = re.compile(HEAD_END, re.I | re.A)
 #: Start tags that end an open element, up to the container named.
 ENDED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -84,7 +88,7 @@ def blocks(html: str, known: dict | None = None) -> list[Block]:
     parts: list[str] = []
     linked = links = 0
     at = 0
-    low = None
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -152,15 +156,16 @@ def blocks(html: str, known: dict | None = None) -> list[Block]:
                         break
         if tag in UNREAD:
             if not attributes.endswith("/"):
-                low = html.lower() if low is None else low
-                end = low.find("</" + tag, at) if len(low) == len(html) else -1
-                if end < 0:
-                    end = (m := re.compile("</" + re.escape(tag), re.I).search(html, at)) and m.start()
-                if not end or end < 0:
-                    end = next((m for m in [low.find("<body", at)] if m > 0), len(html)) if tag == "head" else len(html)
-                at = end
+                end = None if tag in endless else ENDS[tag].search(html, at)
+                if not end:
+                    endless.add(tag)
+                    end = None if "head" in endless else LEFT_OPEN.search(html, at)
+                    if not end:
+                        endless.add("head")
+                at = end.start() if end else len(html)
             continue
-        if tag in VOID:
+        # A head holds nothing but unread and void elements; its end tag may be left out.
+        if tag in VOID or tag == "head":
             continue
         if tag == "a":
             links += 1

@@ -14,27 +14,35 @@ from pyspark.sql import functions as F
 #: Words of a benchmark window; shorter items are one window.
 SPAN = 10
 GRAM = 5
-#: Kept hashes of the benchmark up to which they are broadcast; beyond, the join shuffles.
+#: Keys of the benchmark, and their bytes, up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Characters that the built-in lowering might change though they are not A-Z.
+OTHER_CASE = r"[^\x00-\x7F\p{Ll}]"
 
 
 def words(text: Column) -> Column:
-    """Words of a text: letters A-Z lowered, split at ASCII characters that are not letters or digits."""
-    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
+    """Words of a text: letters A-Z lowered, split at ASCII characters that are not letters or digits.
+
+    The built-in lowering is several times as fast as a translation and the same where all
+    letters beyond ASCII are small ones.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    plain = F.when(text.rlike(OTHER_CASE), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
     return F.array_remove(F.split(plain, BETWEEN), "")
 
 
-def _grams(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words."""
-    last = F.size(words) - size
-    return F.when(
-        last >= 0,
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+def with_grams(texts: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Adds ``hashes`` of the single ``words`` and ``grams``, those of all runs of ``gram`` words.
+    A word is hashed once; runs are hashed from the numbers of their words."""
+    hashed = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    whole = F.slice("hashes", F.lit(1), F.greatest(F.size("hashes") - (gram - 1), F.lit(0)))
+    return hashed.withColumn(
+        "grams", F.transform(whole, lambda w, i: F.xxhash64(w, *[F.get("hashes", i + j) for j in range(1, gram)]))
+    )
 
 
 def _reach(agrees: list[Column]) -> Column:
@@ -45,34 +53,116 @@ def _reach(agrees: list[Column]) -> Column:
     return out
 
 
-def winnowed(texts: DataFrame, gram: int = GRAM, span: int = SPAN) -> DataFrame:
-    """Adds ``at int, hash long`` of the kept hashes to rows with ``words``, one row for each."""
-    window = span - gram + 1
+def is_kept(at: Column, hash: Column, window: int) -> Column:
+    """Whether a hash is the rightmost smallest of some window of ``grams`` around its place."""
+    left = _reach([F.get("grams", at - n) >= hash for n in range(1, window)])
+    right = _reach([F.get("grams", at + n) > hash for n in range(1, window)])
+    return left + right >= window - 1
+
+
+def benchmark_keys(items: DataFrame, id_col: str, text_col: str, gram: int = GRAM, span: int = SPAN) -> DataFrame:
+    """``hash, item, length, item_words``: what documents are looked up by.
+
+    Items of ``span`` words or more: the kept hashes, with length 0 and the words that a window
+    around them can reach (null beyond the ends). Shorter ones: the hash of the first word, with
+    their length and all their words. Items without words or with a null id have no key.
+    """
+    tests = items.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("words")
+    )
+    # Chance repeats within the benchmark would multiply the join's rows without any use.
+    tests = with_grams(tests.distinct(), gram).withColumn("n", F.size("words"))
     # Outer, as else a filter on the hashes would be set before they are made, and make them anew.
-    rows = texts.withColumn("grams", _grams(F.col("words"), gram))
-    rows = rows.select("*", F.posexplode_outer("grams").alias("at", "hash"))
-    left = _reach([F.get("grams", F.col("at") - n) >= F.col("hash") for n in range(1, window)])
-    right = _reach([F.get("grams", F.col("at") + n) > F.col("hash") for n in range(1, window)])
-    return rows.where(left + right >= window - 1).drop("grams")
-
-
-def _context(at: Column, gram: int, span: int) -> Column:
-    """The words that a window around a kept hash can reach; null beyond the ends of the text."""
-    return F.array(*[F.get("words", at + n) for n in range(gram - span, span)])
-
-
-def _extended(hits: DataFrame, gram: int, span: int) -> DataFrame:
-    """Spans of equal words around each hit, where they are long enough."""
-    more = span - gram
-    same = [F.get("context", F.lit(n)) == F.get("item_context", F.lit(n)) for n in range(more + span)]
-    middle = same[more]
-    for column in same[more + 1 : more + gram]:
-        middle = middle & column
-    left, right = _reach(same[:more][::-1]), _reach(same[more + gram :])
-    hits = hits.where(middle).withColumns({"before": left, "after": right}).where(F.col("before") + F.col("after") >= more)
-    return hits.select(
-        "id", "mark", "item", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + gram + F.col("after")).alias("stop")
+    long = tests.where(F.col("n") >= span).select("item", "words", "grams", F.posexplode_outer("grams").alias("at", "hash"))
+    context = F.array(*[F.get("words", F.col("at") + n) for n in range(gram - span, span)])
+    long = long.where(is_kept(F.col("at"), F.col("hash"), span - gram + 1)).select("hash", "item", F.lit(0).alias("length"), context.alias("item_words"))
+    short = tests.where((F.col("n") > 0) & (F.col("n") < span))
+    short = short.select(F.get("hashes", F.lit(0)).alias("hash"), "item", F.col("n").alias("length"), F.col("words").alias("item_words"))
+    return long.unionByName(short).distinct()
+
+
+def _occurrences(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str,
+    text_col: str,
+    item_id_col: str,
+    item_text_col: str,
+    gram: int,
+    span: int,
+    broadcast_rows: int,
+    every: bool,
+) -> DataFrame:
+    """``id, mark, part, n_words, item, start, stop``: the spans of document words in occurring
+    windows, and with ``every`` a row for each row of ``docs``, which alone has ``n_words``;
+    then ``start`` is null where there is no span. ``part`` is the partition that the row was
+    read in. One pass over the texts."""
+    texts = docs.select(
+        F.col(id_col).alias("id"),
+        F.xxhash64(F.col(text_col)).alias("mark"),
+        F.spark_partition_id().alias("part"),
+        words(F.col(text_col)).alias("words"),
     )
+    keys = benchmark_keys(items, item_id_col, item_text_col, gram, span)
+    size = keys.agg(
+        F.count("*").alias("n"),
+        F.sum(16 + F.octet_length(F.concat_ws(" ", "item", "item_words"))).alias("bytes"),
+        F.max("length").alias("short"),
+    ).first()
+    small = size["n"] <= broadcast_rows and (size["bytes"] or 0) <= BROADCAST_BYTES
+
+    # Looked up are the kept hashes of runs and, if there are short items, those of all words; the
+    # last element stands for the row itself.
+    grams, more = F.size("grams"), span - gram
+    looked_up = [F.col("grams"), *([F.col("hashes")] if size["short"] else []), *([F.array("mark")] if every else [])]
+    rows = with_grams(texts, gram).select("*", F.posexplode_outer(F.concat(*looked_up)).alias("place", "hash"))
+    last = grams + (F.size("hashes") if size["short"] else 0)
+    rows = rows.where((F.col("place") >= grams) | is_kept(F.col("place"), F.col("hash"), more + 1))
+    rows = rows.withColumns(
+        {"whole": F.col("place") == last, "at": F.when(F.col("place") < grams, F.col("place")).otherwise(F.col("place") - grams)}
+    ).drop("grams", "hashes", "place").withColumnRenamed("hash", "key")
+    looked = F.broadcast(keys) if small else keys
+    found = rows.join(looked, (rows["key"] == looked["hash"]) & ~rows["whole"], "left" if every else "inner")
+
+    # Beside the join stands only the cutting out of words: all in one would be too much code to be compiled.
+    before = F.least(F.col("at"), F.lit(more))
+    padding = F.slice(F.array(*[F.lit(None).cast("string")] * more), F.lit(1), more - before)
+    context = F.concat(padding, F.slice("words", F.col("at") - before + 1, before + span))
+    found = found.where(F.col("whole") | F.col("item").isNotNull()).select(
+        "id",
+        "mark",
+        "part",
+        F.when(F.col("whole"), F.size("words")).alias("n_words"),
+        "item",
+        "length",
+        "item_words",
+        "at",
+        F.when(~F.col("whole"), context).alias("context"),
+    )
+    spans = _equal_spans(gram, span)
+    return found.select("id", "mark", "part", "n_words", "item", F.inline_outer(spans) if every else F.inline(spans))
+
+
+def _equal_spans(gram: int, span: int) -> Column:
+    """``start, stop`` of the equal words around a looked-up place, if that many are; else null or none.
+
+    ``context`` holds the document's words from ``span - gram`` before the place on, null beyond the ends."""
+    at, more = F.col("at"), span - gram
+    whole_item = F.slice("context", F.lit(more + 1), F.greatest("length", F.lit(1))) == F.col("item_words")
+    same = F.zip_with("context", "item_words", lambda x, y: F.coalesce(x == y, F.lit(False)))
+
+    def reach(side: Column) -> Column:
+        first = F.array_position(side, False).cast("int")
+        return F.when(first > 0, first - 1).otherwise(more)
+
+    def grown(s: Column) -> Column:
+        left, right = reach(F.reverse(F.slice(s, 1, more))), reach(F.slice(s, more + gram + 1, more))
+        middle = ~F.array_contains(F.slice(s, more + 1, gram), False)
+        return F.when(middle & (left + right >= more), F.struct((at - left).alias("start"), (at + gram + right).alias("stop")))
+
+    long = F.filter(F.transform(F.array(same), grown), lambda x: x.isNotNull())
+    short = F.when(whole_item, F.array(F.struct(at.alias("start"), (at + F.col("length")).alias("stop"))))
+    return F.when(F.col("length") > 0, short).when(F.col("item").isNotNull(), long)
 
 
 def benchmark_hits(
@@ -91,45 +181,8 @@ def benchmark_hits(
     ``mark`` is a hash of the text; with the id it names a row, up to rows that repeat it.
     Spans may overlap and repeat. Null texts, and texts without words, have none.
     """
-    texts = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), words(F.col(text_col)).alias("words")
-    )
-    tests = items.select(F.col(item_id_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("words"))
-    # Chance repeats within the benchmark would multiply the join's rows without any use.
-    tests = tests.distinct()
-    kept = winnowed(tests.where(F.size("words") >= span), gram, span)
-    kept = kept.select("item", "hash", _context(F.col("at"), gram, span).alias("item_context")).distinct()
-    short = tests.where((F.size("words") > 0) & (F.size("words") < span))
-    short = short.select("item", F.size("words").alias("length"), F.xxhash64(F.concat_ws(" ", "words")).alias("hash"), F.col("words").alias("item_words"))
-    size = kept.select(F.lit(0).alias("length")).unionByName(short.select("length")).groupBy("length").count().collect()
-    rows, lengths = sum(r["count"] for r in size), sorted(r["length"] for r in size if r["length"])
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(F.broadcast(right) if rows <= broadcast_rows else right, "hash")
-
-    found = winnowed(texts, gram, span).withColumn("context", _context(F.col("at"), gram, span)).drop("words")
-    found = _extended(joined(found, kept), gram, span)
-    if lengths:
-        runs = F.concat(
-            *[
-                F.transform(
-                    F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>")),
-                    lambda i, n=n: F.struct(
-                        i.alias("at"),
-                        F.lit(n).alias("n"),
-                        F.xxhash64(F.concat_ws(" ", *[F.get("words", i + j) for j in range(n)])).alias("hash"),
-                    ),
-                )
-                for n in lengths
-            ]
-        )
-        spots = texts.select("id", "mark", "words", F.explode_outer(runs).alias("run")).select("id", "mark", "words", "run.*")
-        spots = spots.withColumn("some_words", F.slice("words", F.col("at") + 1, F.col("n"))).drop("words")
-        spots = joined(spots, short).where("some_words = item_words")
-        found = found.unionByName(
-            spots.select("id", "mark", "item", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("stop"))
-        )
-    return found
+    found = _occurrences(docs, items, id_col, text_col, item_id_col, item_text_col, gram, span, broadcast_rows, every=False)
+    return found.select("id", "mark", "item", "start", "stop")
 
 
 def decontaminate(
@@ -149,9 +202,13 @@ def decontaminate(
     and items with a null id match nothing. Empty tables give no rows, or no hits. Other
     columns are left out, whatever their names; rows may repeat.
     """
-    hits = benchmark_hits(docs, items.where(F.col(item_id_col).isNotNull()), id_col, text_col, item_id_col, item_text_col, broadcast_rows=broadcast_rows)
-    found = hits.groupBy("id", "mark").agg(
-        F.collect_set(F.struct("start", "stop")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
+    rows = _occurrences(docs, items, id_col, text_col, item_id_col, item_text_col, GRAM, SPAN, broadcast_rows, every=True)
+    # Rows alike in id and text are told apart by the partition they were read in, and counted within it.
+    found = rows.groupBy("id", "mark", "part").agg(
+        F.count("n_words").alias("copies"),
+        F.max("n_words").cast("long").alias("n_words"),
+        F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "stop"))).alias("spans"),
+        F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.col("item")))).alias("items"),
     )
     covered = F.aggregate(
         F.sort_array("spans"),
@@ -162,19 +219,8 @@ def decontaminate(
         ),
         lambda so_far: so_far["n"],
     )
-    found = found.select(F.col("id").alias("found_id"), F.col("mark").alias("found_mark"), covered.alias("n_hit"), "items")
-    every = docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(F.col(text_col)).alias("mark"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
-    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark"))
-    return every.join(found, same, "left").select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-    )
+    found = found.select("id", "n_words", covered.alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "items")
 
 
 def without_contaminated(
@@ -185,8 +231,9 @@ def without_contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs``, with their own columns, in which no window of an item occurs."""
-    hits = benchmark_hits(docs, items.where(F.col(item_id_col).isNotNull()), id_col, text_col, item_id_col, item_text_col)
+    """The rows of ``docs``, with their own columns, in which no window of an item occurs.
+    Null and empty texts stay; rows that repeat stay or go together, whatever else they hold."""
+    hits = benchmark_hits(docs, items, id_col, text_col, item_id_col, item_text_col)
     hits = hits.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
     same = docs[id_col].eqNullSafe(hits["__id"]) & (F.xxhash64(docs[text_col]) == hits["__mark"])
     return docs.join(hits, same, "left_anti")

@@ -69,9 +69,9 @@ def test_recommendations_use_the_stored_posterior(spark, tmp_path):
     )
     posterior.write.parquet(str(tmp_path / "posterior" / "batch_id=0"))
     states = spark.createDataFrame(
-        [(1, dt.date(2024, 1, 1), 60.0, 50.0, 8.0, 80.0, 3, 2, False), (2, dt.date(2024, 1, 1), 60.0, 10.0, 8.0, 80.0, 3, 2, False)],
+        [(1, dt.date(2024, 1, 1), 60.0, 50.0, 8.0, 80.0, 3, 2, False, 0), (2, dt.date(2024, 1, 1), 60.0, 10.0, 8.0, 80.0, 3, 2, False, 0)],
         "user_id int, date date, resting_hr double, hrv double, sleep_duration_hours double, readiness_score double, "
-        "fatigue int, soreness int, overtraining_risk boolean",
+        "fatigue int, soreness int, overtraining_risk boolean, consecutive_high_days int",
     )
     states.write.parquet(str(tmp_path / "states"))
     stream = parquet_stream(spark, str(tmp_path / "states"), states.schema)

@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import decontamination, extraction, mtree, packing, quality, revisits, simhash, substrings, suffixes, toxicity
+from pulseframe.llm import (
+    decontamination,
+    extraction,
+    mtree,
+    packing,
+    projections,
+    quality,
+    revisits,
+    simhash,
+    substrings,
+    suffixes,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +137,11 @@ ORACLES["op1_revisit_resolution"] = revisits.ORACLE
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     texts = extraction.extract(_table(spark, folder, "pages").select("page_id", "url", "html"), extraction.train())
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op11_projection_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return projections.near_vectors(spark, _table(spark, folder, "embeddings"))
+
+
+ORACLES["op11_projection_near_dedup"] = projections.ORACLE

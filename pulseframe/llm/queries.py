@@ -15,6 +15,7 @@ from pulseframe.llm import (
     packing,
     projections,
     quality,
+    ranking,
     revisits,
     simhash,
     substrings,
@@ -145,3 +146,11 @@ def op11_projection_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op11_projection_near_dedup"] = projections.ORACLE
+
+
+@_query
+def op12_max_sketch_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.ranked_search(spark, _table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+ORACLES["op12_max_sketch_search"] = ranking.ORACLE

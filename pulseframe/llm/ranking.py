@@ -1,12 +1,12 @@
 """Ranked lexical search by hashed max-sketches.
 
-Every document is turned into its distinct terms with their counts, and into a sketch: an array
-of four to eight places per distinct term, where each term's hash names a place and the place
-keeps the greatest count that fell on it, rounded up to one of 256 levels. An impact grows with
-the count, so what a sketch says of a query's term is never too little: the sums over a batch of
-queries, looked up together, are upper bounds of the scores. Documents are then scored exactly
-in order of falling bounds, until the bound is below the lowest score that still counts; terms
-and counts of the others are never looked at.
+Every document is turned into its distinct terms with their counts, and into two sketches: arrays
+of four to eight places per distinct term, where a part of each term's hash names a place and the
+place keeps the greatest count that fell on it, rounded up to one of 256 levels. An impact grows
+with the count, so what a sketch says of a query's term is never too little, and the lesser of the
+two is closer: the sums over a batch of queries, looked up together, are upper bounds of the
+scores. Documents are then scored exactly in order of falling bounds, until the bound is below the
+lowest score that still counts; terms and counts of the others are never looked at.
 
 Scores are whole numbers, so results are the same for every partitioning. Terms are told apart
 by 64-bit hashes: among n different ones, n * n / 2**65 pairs are expected to be taken as equal.
@@ -34,12 +34,14 @@ TERM_BYTES = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B),
 #: Text of the documents that make one row of the index, and places of a sketch per distinct term, at least.
 GROUP_BYTES = 1 << 20
 PLACES = 4
+#: Bits of a hash that the places of each sketch are taken from on.
+SHIFTS = (0, 32)
 #: Queries whose bounds are computed as one product, and bounds of queries that one job looks up.
 QUERY_BLOCK = 256
 JOB_QUERIES = 4096
 JOB_TERMS = 4 << 20
 #: Documents that are scored exactly before the bound is compared again.
-STEP = 16
+STEP = 32
 #: The levels that counts are rounded up to: all up to 127, then eight to each doubling, then any.
 LEVELS = np.array([*range(128), *(math.ceil(127 * 2 ** (k / 8)) for k in range(1, 128)), 2**62], np.int64)
 #: No impact is greater.
@@ -71,11 +73,11 @@ def sketch_sizes(distinct: np.ndarray) -> np.ndarray:
     return np.int64(1) << np.ceil(np.log2(np.maximum(PLACES * distinct, 1))).astype(np.int64)
 
 
-def sketched(distinct: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sketches of texts one after the other: at each place the level of the greatest count."""
+def sketched(distinct: np.ndarray, hashes: np.ndarray, counts: np.ndarray, shift: int) -> np.ndarray:
+    """A sketch of each text, one after the other: at each place the level of the greatest count."""
     sizes = sketch_sizes(distinct)
     offset = np.cumsum(sizes) - sizes
-    places = np.repeat(offset, distinct) + (hashes & np.repeat(sizes - 1, distinct).astype(np.uint64)).astype(np.int64)
+    places = np.repeat(offset, distinct) + ((hashes >> np.uint64(shift)) & np.repeat(sizes - 1, distinct).astype(np.uint64)).astype(np.int64)
     out = np.zeros(int(sizes.sum()), np.uint8)
     np.maximum.at(out, places, np.searchsorted(LEVELS, counts).astype(np.uint8))
     return out
@@ -96,7 +98,8 @@ def term_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
                 size += len(text)
                 if size >= GROUP_BYTES or row == len(texts) - 1:
                     n, distinct, hashes, counts = _counted(texts[low : row + 1], find)
-                    binary = [distinct.astype(np.int32), hashes, counts.astype(np.int32), sketched(distinct, hashes, counts)]
+                    sketches = np.concatenate([sketched(distinct, hashes, counts, shift) for shift in SHIFTS])
+                    binary = [distinct.astype(np.int32), hashes, counts.astype(np.int32), sketches]
                     columns = [
                         pa.ListArray.from_arrays(pa.array([0, row + 1 - low], pa.int32()), batch.column(0).slice(low, row + 1 - low)),
                         pa.array([n.tolist()], pa.list_(pa.int64())),
@@ -119,6 +122,10 @@ class Queries:
     terms: np.ndarray
     weights: np.ndarray  # a row for each term, a column for each query
 
+    def __post_init__(self) -> None:
+        self.single = self.weights.astype(np.float32)
+        self.own = [(np.flatnonzero(w), w[w > 0]) for w in self.weights.T]
+
     @classmethod
     def of(cls, numbers: list[int], rows: list[dict[int, int]], weight: dict[int, int]) -> Queries:
         terms = sorted({t for row in rows for t in row if t in weight})
@@ -157,47 +164,60 @@ class Group:
         self.m = np.array([25 + 75 * n * filled // terms for n in row["n"]], np.int64)
         self.distinct = np.frombuffer(row["distinct"], np.int32).astype(np.int64)
         self.hashes, self.counts = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], np.int32)
-        self.sketches = np.frombuffer(row["sketches"], np.uint8)
+        self.sketches = np.frombuffer(row["sketches"], np.uint8).reshape(len(SHIFTS), -1)
         self.stops = np.cumsum(self.distinct)
 
-    def bounds(self, queries: Queries, weights: np.ndarray) -> np.ndarray:
+    def bounds(self, queries: Queries) -> np.ndarray:
         """Upper bounds of the scores of all documents and queries, from the sketches alone."""
         sizes = sketch_sizes(self.distinct)
-        places = (queries.terms[None, :] & (sizes - 1).astype(np.uint64)[:, None]).astype(np.int64)
-        places += (np.cumsum(sizes) - sizes)[:, None]
+        offset, mask = (np.cumsum(sizes) - sizes)[:, None], (sizes - 1).astype(np.uint64)[:, None]
+        levels = None
+        for shift, sketch in zip(SHIFTS, self.sketches):
+            here = sketch[((queries.terms >> np.uint64(shift))[None, :] & mask).astype(np.int64) + offset]
+            levels = here if levels is None else np.minimum(levels, here)
         by_level = np.full((len(sizes), 256), MOST, np.float32)
         by_level[:, :255] = impact(LEVELS[None, :255], self.m[:, None])
-        impacts = np.take_along_axis(by_level, self.sketches[places].astype(np.int64), axis=1)
+        impacts = np.take_along_axis(by_level, levels.astype(np.intp), axis=1)
         # Single precision is wrong by far less than a ten thousandth.
-        return (impacts @ weights) * np.float32(1.0001)
-
-    def scores(self, docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The exact scores of some documents for the terms of one query."""
-        out = np.empty(len(docs), np.int64)
-        for i, d in enumerate(docs.tolist()):
-            part = slice(self.stops[d] - self.distinct[d], self.stops[d])
-            own = self.hashes[part]
-            at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-            has = own[at] == terms
-            counts = self.counts[part][at[has]].astype(np.int64)
-            out[i] = (weights[has] * impact(counts, self.m[d])).sum()
-        return out
-
-
-def search_group(group: Group, queries: Queries, weights: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], best: Best) -> int:
+        return (impacts @ queries.single) * np.float32(1.0001)
+
+
+class Exact:
+    """Exact scores of the documents of a group; terms of a document are looked up when it is first asked for."""
+
+    def __init__(self, group: Group, queries: Queries) -> None:
+        self.group, self.queries = group, queries
+        self.impacts = np.zeros((len(group.m), len(queries.terms)), np.int32)
+        self.known = np.zeros(len(group.m), bool)
+
+    def __call__(self, docs: np.ndarray, query: int) -> np.ndarray:
+        group = self.group
+        for d in docs[~self.known[docs]].tolist():
+            part = slice(group.stops[d] - group.distinct[d], group.stops[d])
+            own = group.hashes[part]
+            at = np.searchsorted(self.queries.terms, own)
+            at[at == len(self.queries.terms)] = 0
+            has = self.queries.terms[at] == own
+            self.impacts[d, at[has]] = impact(group.counts[part][has].astype(np.int64), group.m[d])
+        self.known[docs] = True
+        places, weights = self.queries.own[query]
+        return self.impacts[docs[:, None], places].astype(np.int64) @ weights
+
+
+def search_group(group: Group, queries: Queries, best: Best) -> int:
     """Improves ``best`` by the documents of a group; returns how many pairs were scored exactly."""
-    bounds = group.bounds(queries, weights)
+    bounds, exact = group.bounds(queries), Exact(group, queries)
     scored = 0
     for q in np.flatnonzero((bounds >= best.least).any(axis=0)).tolist():
         mine = bounds[:, q]
-        docs = np.flatnonzero((mine >= best.least[q]) & (group.distinct > 0))
+        docs = np.flatnonzero(mine >= best.least[q])
         docs = docs[np.argsort(-mine[docs], kind="stable")]
         for low in range(0, len(docs), STEP):
             some = docs[low : low + STEP]
             some = some[mine[some] >= best.least[q]]
             if not len(some):
                 break  # bounds only fall from here
-            scores = group.scores(some, *own[q])
+            scores = exact(some, q)
             scored += len(some)
             good = scores >= best.least[q]
             if good.any():
@@ -208,13 +228,11 @@ def search_group(group: Group, queries: Queries, weights: np.ndarray, own: list[
 def _searched(blocks: list[Queries], filled: int, terms: int, top: int, id_type: pa.DataType):
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(len(b.numbers), top) for b in blocks]
-        single = [b.weights.astype(np.float32) for b in blocks]
-        own = [[(b.terms[w > 0], w[w > 0]) for w in b.weights.T] for b in blocks]
         for batch in batches:
             for i in range(batch.num_rows):
                 group = Group(batch.slice(i, 1).to_pylist()[0], filled, terms)
-                for b, w, o, found in zip(blocks, single, own, best):
-                    search_group(group, b, w, o, found)
+                for queries, found in zip(blocks, best):
+                    search_group(group, queries, found)
         rows = [(b.numbers[q], -s, i) for b, f in zip(blocks, best) for q, r in enumerate(f.rows) for s, _, i in r]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], id_type)],

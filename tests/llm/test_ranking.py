@@ -75,7 +75,7 @@ def group_of(docs):
     find = WordHashes(ranking.TERM_BYTES)
     n, distinct, hashes, counts = ranking._counted([(t or "").encode() for _, t in docs], find)
     row = {"ids": [i for i, _ in docs], "n": n.tolist(), "distinct": distinct.astype(np.int32).tobytes(), "hashes": hashes.tobytes()}
-    row |= {"counts": counts.astype(np.int32).tobytes(), "sketches": ranking.sketched(distinct, hashes, counts).tobytes()}
+    row |= {"counts": counts.astype(np.int32).tobytes(), "sketches": b"".join(ranking.sketched(distinct, hashes, counts, s).tobytes() for s in ranking.SHIFTS)}
     return ranking.Group(row, int((n > 0).sum()), int(n.sum())), find
 
 
@@ -87,14 +87,12 @@ def test_bounds_hold_and_spare_documents(tables):
     df = Counter(group.hashes.tolist())
     weight = {t: math.floor(1000 * math.log((2 * len(docs) + 2) / (2 * n + 1))) for t, n in df.items()}
     queries = ranking.Queries.of(list(range(len(rows))), rows, weight)
-    single = queries.weights.astype(np.float32)
-    bounds = group.bounds(queries, single)
-    own = [(queries.terms[w > 0], w[w > 0]) for w in queries.weights.T]
-    some = np.flatnonzero(group.distinct > 0)
+    bounds, exact = group.bounds(queries), ranking.Exact(group, queries)
+    some = np.arange(len(docs))
     for q in range(len(rows)):
-        assert (bounds[some, q] >= group.scores(some, *own[q])).all()
+        assert (bounds[:, q] >= exact(some, q)).all()
     best = ranking.Best(len(rows), 10)
-    scored = ranking.search_group(group, queries, single, own, best)
+    scored = ranking.search_group(group, queries, best)
     assert scored < 0.5 * len(some) * len(rows)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.llm import (
+    collocations,
     decontamination,
     extraction,
     mtree,
@@ -154,3 +155,11 @@ def op12_max_sketch_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_max_sketch_search"] = ranking.ORACLE
+
+
+@_query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(spark, _table(spark, folder, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = collocations.ORACLE

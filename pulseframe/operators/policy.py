@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.functions.draws import hashed_normal, hashed_uniform
+from pulseframe.functions.draws import digest_normals, digest_uniforms
 from pulseframe.functions.scalars import dot, one_decimal, or_else
-from pulseframe.operators.catalog import decorate, id_array, ids_of_intensity, ids_within
+from pulseframe.operators.catalog import ACTION_COUNT, decorate, id_array, ids_of_intensity, ids_within
 from pulseframe.operators.posterior import GRID_STEPS, as_vector, pair_names, posterior_mean, quantile_grids
 from pulseframe.operators.safety import with_allowed
 
@@ -65,20 +65,19 @@ def thompson(states: DataFrame, posterior: DataFrame, seed: int, keys: list[str]
     The grids are read in one place, which lets the optimizer keep them out of the rows.
     """
     grids = as_vector(quantile_grids(posterior), F.col("cells"))
-    places = F.transform(
-        "allowed",
-        lambda a: F.struct(a.alias("id"), (hashed_uniform(seed, *_key_columns(keys), a) * GRID_STEPS).alias("place")),
-    )
-    found = F.transform(
-        places,
-        lambda p: F.struct(
-            p["id"].alias("id"),
-            (p["place"] - F.floor(p["place"])).alias("within"),
-            F.get(F.col("_grids")[p["id"]], F.floor(p["place"]).cast("int")).alias("cell"),
-        ),
-    )
-    draw = lambda f: f["cell"]["low"] + f["within"] * f["cell"]["width"]
-    return states.withColumn("_grids", grids).withColumn("action_id", _lowest_cost(found, draw)).drop("_grids")
+
+    def choice(row: Column) -> Column:
+        def found(a: Column) -> Column:
+            place = row["uniforms"][a] * GRID_STEPS
+            cell = F.get(F.col("_grids")[a], F.floor(place).cast("int"))
+            return F.struct(a.alias("id"), (cell["low"] + (place - F.floor(place)) * cell["width"]).alias("draw"))
+
+        return _lowest_cost(F.transform("allowed", found), lambda f: f["draw"])
+
+    # The numbers of a state are drawn once, as the only element of an outer array.
+    uniforms = F.array(*digest_uniforms(seed, _key_columns(keys), ACTION_COUNT))
+    scored = states.withColumns({"_state": F.array(F.struct(uniforms.alias("uniforms"))), "_grids": grids})
+    return scored.withColumn("action_id", F.transform("_state", choice)[0]).drop("_state", "_grids")
 
 
 def linear_thompson(
@@ -96,7 +95,6 @@ def linear_thompson(
         "allowed",
         lambda a: F.struct(
             a.alias("id"),
-            hashed_normal(seed, *_key_columns(keys), a).alias("z"),
             F.col("_model")[a].alias("m"),
         ),
     )
@@ -104,13 +102,14 @@ def linear_thompson(
     def choice(row: Column) -> Column:
         def sampled(f: Column) -> Column:
             variance = F.greatest(F.lit(0.0), dot(f["m"]["precision_inverse"], row["pairs"]))
-            return dot(f["m"]["theta"], row["x"]) + sigma * F.sqrt(variance) * f["z"]
+            return dot(f["m"]["theta"], row["x"]) + sigma * F.sqrt(variance) * row["normals"][f["id"]]
 
         return _lowest_cost(models, sampled)
 
-    # Products of the context are taken once per state, as the only element of an outer array. Both
-    # columns are read in one place, which lets the optimizer keep the model out of the rows.
-    once = F.array(F.struct(pairs.alias("pairs"), x.alias("x")))
+    # Products of the context and normal numbers are made once per state, as the only element of an
+    # outer array. Both columns are read in one place, which lets the optimizer keep the model out of the rows.
+    normals = F.array(*digest_normals(seed, _key_columns(keys), ACTION_COUNT))
+    once = F.array(F.struct(pairs.alias("pairs"), x.alias("x"), normals.alias("normals")))
     scored = states.withColumns({"_state": once, "_model": model})
     return scored.withColumn("action_id", F.transform("_state", choice)[0]).drop("_state", "_model")
 

@@ -373,7 +373,46 @@ def recommend(spark, folder):
     return po.recommend(states_with_load(spark, folder), lambda s: po.greedy(s, posterior))
 
 
-@query("thompson_decision")
+def uniform_sql(n: str) -> str:
+    """Number ``n`` of the state's digests, by user, date and the seed."""
+    text = f"concat_ws('|', '{SEED}', cast(user_id as varchar), cast(date as varchar), cast(({n}) // 4 as varchar))"
+    return f"(cast('0x' || substr(md5({text}), 1 + 8 * (({n}) % 4), 8) as ubigint) + 0.5e0) / 4294967296e0"
+
+
+# Quantiles of each Beta posterior: its density is summed over 40,000 cells around the mean, and the
+# sums are read at 1025 levels, the outer two a quarter step inside.
+_STEPS = pt.GRID_STEPS
+THOMPSON = {
+    "reach": """select action_id, alpha, beta, greatest(0e0, mean - 12 * sd) as low, least(1e0, mean + 12 * sd) as high
+      from (select *, alpha / (alpha + beta) as mean,
+              sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) as sd from posterior) p""",
+    "cells": """select action_id, i, alpha, beta, low + (high - low) * i / 40000 as x0, low + (high - low) * (i + 1) / 40000 as x1
+      from reach, (select unnest(generate_series(0, 39999)) as i) s""",
+    "logs": "select *, (alpha - 1) * ln((x0 + x1) / 2) + (beta - 1) * ln(1 - (x0 + x1) / 2) as log_density from cells",
+    "masses": "select action_id, i, x0, x1, exp(log_density - max(log_density) over (partition by action_id)) as mass from logs",
+    "sums": """select *, sum(mass) over (partition by action_id order by i rows unbounded preceding) as c,
+      sum(mass) over (partition by action_id) as total from masses""",
+    "below": "select action_id, x0, x1, (c - mass) / total as c0, mass / total as share from sums",
+    "levels": f"""select action_id, j, case j when 0 then 0.25e0 / {_STEPS} when {_STEPS} then 1 - 0.25e0 / {_STEPS}
+        else j / {_STEPS}e0 end as level
+      from posterior, (select unnest(generate_series(0, {_STEPS})) as j) s""",
+    "quantiles": """select l.action_id, list(x0 + (level - c0) / share * (x1 - x0) order by j) as grid
+      from levels l asof join below b on l.action_id = b.action_id and l.level >= b.c0 group by l.action_id""",
+    "places": f"""select user_id, date, action_id, ({uniform_sql('action_id')}) * {_STEPS} as place
+      from (select user_id, date, unnest(allowed) as action_id from open_states) s""",
+    "draws": """select user_id, date, action_id, grid[cast(floor(place) as integer) + 1]
+        + (place - floor(place)) * (grid[cast(floor(place) as integer) + 2] - grid[cast(floor(place) as integer) + 1]) as draw
+      from places join quantiles using (action_id)""",
+}
+
+
+@query(
+    "thompson_decision",
+    """select user_id, date, action_id from draws
+       qualify row_number() over (partition by user_id, date order by draw desc, action_id) = 1""",
+    "states fb",
+    extra={**GREEDY, **THOMPSON},
+)
 def thompson_decision(spark, folder):
     opened = sf.with_allowed(states_with_load(spark, folder)).select(*KEYS, "allowed")
     return po.thompson(opened, beta(spark, folder), SEED, KEYS).drop("allowed")
@@ -384,13 +423,6 @@ def decisions_with_context(spark, folder):
     return served.select(*KEYS, "action_id", "reward", pt.context_vector().alias("context"))
 
 
-@query("linear_thompson_decision")
-def linear_thompson_decision(spark, folder):
-    linear = pt.linear_posterior(pt.linear_statistics(decisions_with_context(spark, folder)))
-    opened = sf.with_allowed(states_with_run(spark, folder)).withColumn("context", pt.context_vector())
-    return po.linear_thompson(opened.select(*KEYS, "allowed", "context"), linear, SEED, KEYS).select(*KEYS, "action_id")
-
-
 _PAIRS = pt.pair_names()
 _N = pt.CONTEXT_SIZE
 VECTORS = {
@@ -402,14 +434,18 @@ VECTORS = {
 }
 
 
-def solved() -> dict[str, str]:
-    """Gauss-Jordan elimination of every action's system (B | f), one expression per pivot."""
-    cells = [(i, j) for i in range(_N) for j in range(_N + 1)]
-    start = [
-        f"sum(reward * c{i}) as a_{i}_{j}" if j == _N else f"sum(c{i} * c{j}) + {int(i == j)}e0 as a_{i}_{j}"
-        for i, j in cells
-    ]
-    steps = {"step_0": f"select action_id, {', '.join(start)} from vectors group by action_id"}
+def solved(inverse: bool = False) -> dict[str, str]:
+    """Gauss-Jordan elimination of every action's system (B | f), one expression per pivot; with
+    ``inverse`` of (B | f | I), which leaves the inverse of B in the columns after the solution."""
+    width = 2 * _N + 1 if inverse else _N + 1
+    cells = [(i, j) for i in range(_N) for j in range(width)]
+
+    def first(i: int, j: int) -> str:
+        if j < _N:
+            return f"sum(c{i} * c{j}) + {int(i == j)}e0 as a_{i}_{j}"
+        return f"sum(reward * c{i}) as a_{i}_{j}" if j == _N else f"{int(j - _N - 1 == i)}e0 as a_{i}_{j}"
+
+    steps = {"step_0": f"select action_id, {', '.join(first(i, j) for i, j in cells)} from vectors group by action_id"}
     for k in range(_N):
         reduced = [
             f"a_{k}_{j} / a_{k}_{k} as a_{i}_{j}" if i == k else f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} as a_{i}_{j}"
@@ -446,3 +482,41 @@ def linear_expected_reward(spark, folder):
 )
 def linear_statistics(spark, folder):
     return pt.linear_statistics(decisions_with_context(spark, folder))
+
+
+def _linear_draws() -> dict[str, str]:
+    """The sampled reward of each allowed action: mean m'x and variance x'Cx of the linear posterior, or
+    of the prior where an action was never served, and a normal number from two uniforms."""
+    mean = " + ".join(f"coalesce(a_{i}_{_N}, 0e0) * c{i}" for i in range(_N))
+    terms = [f"coalesce(a_{i}_{_N + 1 + j}, {int(i == j)}e0) * c{i} * c{j}" for i in range(_N) for j in range(_N)]
+    normal = f"sqrt(-2 * ln({uniform_sql('2 * action_id')})) * cos(2 * pi() * ({uniform_sql('2 * action_id + 1')}))"
+    return {
+        "asked": """select user_id, date, unnest(allowed) as action_id, coalesce(readiness_score, 50) / 100 as c0,
+          coalesce(sleep_score, 50) / 100 as c1, coalesce(activity_score, 50) / 100 as c2, coalesce(hrv, 50) / 100 as c3,
+          coalesce(resting_hr, 60) / 100 as c4, coalesce(fatigue, 5) / 10e0 as c5,
+          coalesce(days_since_training, 1) / 7e0 as c6 from open_states""",
+        "linear_draws": f"""select user_id, date, action_id,
+            {mean} + sqrt(greatest(0e0, {" + ".join(terms)})) * {normal} as draw
+          from asked left join step_{_N} using (action_id)""",
+    }
+
+
+def _opened() -> dict[str, str]:
+    """``open_states`` with days since training, beside the vectors of the decisions."""
+    names = {k: v for k, v in RULED.items() if k != "ruled"}
+    names["state_since"] = names.pop("since_states")
+    names["open_states"] = names["open_states"].replace("since_states", "state_since")
+    return {"load_states": names["load_states"], "state_since": names["state_since"], "open_states": names["open_states"]}
+
+
+@query(
+    "linear_thompson_decision",
+    """select user_id, date, action_id from linear_draws
+       qualify row_number() over (partition by user_id, date order by draw desc, action_id) = 1""",
+    "states decisions",
+    extra={**VECTORS, **solved(inverse=True), **_opened(), **_linear_draws()},
+)
+def linear_thompson_decision(spark, folder):
+    linear = pt.linear_posterior(pt.linear_statistics(decisions_with_context(spark, folder)))
+    opened = sf.with_allowed(states_with_run(spark, folder)).withColumn("context", pt.context_vector())
+    return po.linear_thompson(opened.select(*KEYS, "allowed", "context"), linear, SEED, KEYS).select(*KEYS, "action_id")

@@ -70,9 +70,9 @@ def thompson(states: DataFrame, posterior: DataFrame, seed: int, keys: list[str]
         def found(a: Column) -> Column:
             place = row["uniforms"][a] * GRID_STEPS
             cell = F.get(F.col("_grids")[a], F.floor(place).cast("int"))
-            return F.struct(a.alias("id"), (cell["low"] + (place - F.floor(place)) * cell["width"]).alias("draw"))
+            return F.struct(a.alias("id"), (place - F.floor(place)).alias("within"), cell.alias("cell"))
 
-        return _lowest_cost(F.transform("allowed", found), lambda f: f["draw"])
+        return _lowest_cost(F.transform("allowed", found), lambda f: f["cell"]["low"] + f["within"] * f["cell"]["width"])
 
     # The numbers of a state are drawn once, as the only element of an outer array.
     uniforms = F.array(*digest_uniforms(seed, _key_columns(keys), ACTION_COUNT))

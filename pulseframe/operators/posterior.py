@@ -29,6 +29,20 @@ CONTEXT = (
 )
 
 
+# Why a row of feedback can't be learnt from.
+NO_ACTION, UNKNOWN_ACTION = "no action", "unknown action"
+
+
+def unusable_action(action: Column) -> Column:
+    """Why no action can be learnt from this id; null where one can."""
+    return F.when(action.isNull(), F.lit(NO_ACTION)).when(~action.between(0, ACTION_COUNT - 1), F.lit(UNKNOWN_ACTION))
+
+
+def rejected_feedback(feedback: DataFrame) -> DataFrame:
+    """The rows that posteriors and statistics leave out, with the ``reason``."""
+    return feedback.withColumn("reason", unusable_action(F.col("action_id"))).where(F.col("reason").isNotNull())
+
+
 def _known_action() -> Column:
     return F.col("action_id").between(0, ACTION_COUNT - 1)
 

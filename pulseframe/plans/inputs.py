@@ -71,6 +71,24 @@ select o_custkey as user_id, cast(l_partkey % 18 as int) as action_id, l_orderke
   l_quantity / 50 as adherence_ratio, (l_tax - 0.04e0) * 5 as recovery_change,
   l_discount * 10 as satisfaction, (l_linestatus = 'F' and l_quantity > 40) as overtraining
 from {lineitem} join {orders} on l_orderkey = o_orderkey""",
+    "fb_events": """
+select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string)) as event_id, cast(l_orderkey + l_partkey as int) as n,
+  o_custkey as user_id, cast(l_partkey % 18 as int) as action_id, cast(l_shipdate as date) as date,
+  case when l_returnflag <> 'R' then 1.0e0 else 0.0e0 end as completion,
+  l_quantity / 50 as adherence_ratio, (l_tax - 0.04e0) * 5 as recovery_change,
+  l_discount * 10 as satisfaction, (l_linestatus = 'F' and l_quantity > 40) as overtraining
+from {lineitem} join {orders} on l_orderkey = o_orderkey""",
+    # Feedback as a transport delivers it in three parts: some messages are broken in one of four
+    # ways, some come long after their time, some twice, of these half in the part after.
+    "faulty": """
+select *, case when n % 11 = 0 then 'unreadable' when n % 13 = 0 then 'wrong type'
+    when n % 17 = 0 then 'unknown action' when n % 23 = 0 then 'no event type' end as fault,
+  case when n % 19 = 0 then 2 when date < date '1998-01-01' then 0 when date < date '2000-01-01' then 1 else 2 end as part
+from {fb_events}""",
+    "delivered": """
+select *, case when copy = 1 and n % 14 = 0 then least(part + 1, 2) else part end as arrival
+from (select f.*, 0 as copy from {faulty} f
+      union all select f.*, 1 as copy from {faulty} f where n % 7 = 0 and fault is null) c""",
     "sessions": """
 select o_custkey as user_id, o_orderkey as session_id, o_orderdate as date, p_name as exercise_name,
   l_linenumber as position, cast(1 + l_linenumber % 5 as int) as sets, cast(5 + l_suppkey % 10 as int) as reps,

@@ -11,10 +11,11 @@ from pulseframe.plans.daily import MEASURE_DOUBLES, MEASURES
 from pulseframe.plans.ingest import ROUTED_EXTRA, ROUTED_SQL, coach_events, landed
 from pulseframe.plans.inputs import INPUTS, source
 from pulseframe.plans.learning import BETA
+from pulseframe.plans.oracle_parts import ACTIONS, POSTERIOR, SCORED
 from pulseframe.plans.registry import ORACLES, query
 from pulseframe.session import scratch_path
 from pulseframe.streaming import jobs
-from pulseframe.streaming.messages import feedback_messages, parse_feedback, plan_messages
+from pulseframe.streaming.messages import feedback_messages, plan_messages
 from pulseframe.streaming.runner import parquet_stream
 
 
@@ -36,17 +37,63 @@ def stream_posterior(spark, folder):
     return jobs.stream_posterior(feedback, scratch_path(spark, "stream-posterior"))
 
 
-@query("stream_feedback_messages", "select * from posterior", "fb", "alpha beta total_reward", BETA)
-def stream_feedback_messages(spark, folder):
-    """Feedback lands as JSON messages, which a stream parses before it learns from them."""
+# What becomes of each delivered message: the newest good time before a part, less 30 days, parts
+# late ones; of those left, the first of an event counts.
+JUDGED = {
+    "newest": """select p.arrival, max(d.date) as newest from (select distinct arrival from delivered) p
+      join delivered d on d.arrival < p.arrival and d.fault is null group by p.arrival""",
+    "timed": """select d.*, coalesce(fault, case when d.date < newest - interval 30 day then 'late' end) as early_reason
+      from delivered d left join newest using (arrival)""",
+    "judged": """select *, coalesce(early_reason, case when row_number() over (
+        partition by event_id, early_reason is null order by arrival, copy) > 1 then 'repeated' end) as reason from timed""",
+}
+LEARNT = {"actions": ACTIONS, **JUDGED, **POSTERIOR, "scored": SCORED.replace("from fb", "from judged where reason is null")}
+
+
+def feedback_stream(spark, folder):
+    """Feedback lands as JSON messages in three parts, one file each, that a stream takes one by one."""
 
     def publish(path: str) -> None:
-        scored = with_reward(source(spark, folder, "fb"))
-        feedback_messages(scored, "date").write.parquet(path)
+        delivered = with_reward(source(spark, folder, "delivered"))
+        for part in range(3):
+            messages = feedback_messages(delivered.where(F.col("arrival") == part), "date", keep=["fault"])
+            whole = F.col("value")
+            broken = (
+                F.when(F.col("fault") == "unreadable", F.expr("substr(value, 1, length(value) - 5)"))
+                .when(F.col("fault") == "wrong type", F.regexp_replace(whole, '"action_id":[0-9]+', '"action_id":"x"'))
+                .when(F.col("fault") == "unknown action", F.regexp_replace(whole, '"action_id":[0-9]+', '"action_id":99'))
+                .when(F.col("fault") == "no event type", F.regexp_replace(whole, '"event_type":"[a-z_]+",', ""))
+            )
+            messages = messages.select("topic", F.coalesce(broken, whole).alias("value"))
+            messages.coalesce(1).write.mode("append").parquet(path)
 
     path = landed(spark, folder, "feedback-messages", publish)
-    messages = parquet_stream(spark, path, spark.read.parquet(path).schema)
-    return jobs.stream_posterior(parse_feedback(messages), scratch_path(spark, "stream-messages"))
+    return parquet_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+
+
+def learnt(spark, folder):
+    """Posterior and rejected messages; both queries over them share one run of the stream."""
+    out = landed(spark, folder, "learnt", lambda p: jobs.stream_feedback(feedback_stream(spark, folder), p))
+    return jobs.feedback_results(spark, out, ["topic", "value"])
+
+
+@query("stream_feedback_messages", "select * from posterior", "delivered", "alpha beta total_reward", LEARNT)
+def stream_feedback_messages(spark, folder):
+    """The posterior from messages of which some are broken, late or repeated."""
+    return learnt(spark, folder)[0]
+
+
+@query(
+    "stream_dead_letters",
+    "select arrival as batch_id, reason, count(*) as row_count from judged where reason is not null group by all",
+    "delivered",
+    extra=JUDGED,
+)
+def stream_dead_letters(spark, folder):
+    """How many messages of each micro-batch couldn't be learnt from, and why."""
+    rejected = learnt(spark, folder)[1]
+    counts = rejected.groupBy("batch_id", "reason").agg(F.count(F.lit(1)).alias("row_count"))
+    return counts.withColumn("batch_id", F.col("batch_id").cast("int"))
 
 
 @query(

@@ -1,13 +1,15 @@
 """Streams in several micro-batches: restarts, repeats and late rows."""
 
 import datetime as dt
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.operators.posterior import beta_posterior
 from pulseframe.operators.reward import with_reward
-from pulseframe.streaming import jobs
-from pulseframe.streaming.messages import feedback_messages, parse_feedback
+from pulseframe.streaming import jobs, runner
+from pulseframe.streaming.messages import feedback_messages, judged_feedback, parse_feedback
 from pulseframe.streaming.runner import parquet_stream
 
 FEEDBACK = "event_id int, timestamp timestamp, action_id int, completion double"
@@ -79,6 +81,90 @@ def test_recommendations_use_the_stored_posterior(spark, tmp_path):
     assert {r.user_id: r.action_id for r in got.collect()} == {1: 17, 2: 0}
 
 
+STATES = (
+    "user_id int, date date, resting_hr double, hrv double, sleep_duration_hours double, readiness_score double, "
+    "fatigue int, soreness int, overtraining_risk boolean, consecutive_high_days int"
+)
+
+
+def test_a_batch_tried_again_decides_alike(spark, tmp_path):
+    """The posterior moves between two tries of a batch, and before the batch after it."""
+    stored, out = str(tmp_path / "posterior"), str(tmp_path / "out")
+    posterior = lambda action: beta_posterior(
+        spark.createDataFrame([(action, 1.0, 1)] * 3, "action_id int, reward double, success int")
+    )
+    states = spark.createDataFrame([(1, dt.date(2024, 1, 1), 60.0, 50.0, 8.0, 80.0, 3, 2, False, 0)], STATES)
+    decided = lambda n: [r.action_id for r in jobs.decide_batch(states, n, stored, out).collect()]
+    posterior(17).write.parquet(f"{stored}/batch_id=0")
+    assert decided(0) == [17]
+    posterior(4).write.parquet(f"{stored}/batch_id=1")
+    assert decided(0) == [17] and decided(1) == [4]
+
+
+def test_states_without_a_needed_column_are_refused(spark, tmp_path):
+    states = spark.createDataFrame([(1, 2)], "user_id int, fatigue int")
+    with pytest.raises(ValueError, match="consecutive_high_days"):
+        jobs.decide_batch(states, 0, str(tmp_path / "posterior"), str(tmp_path / "out"))
+
+
+def test_many_batches_are_read_in_few_folders(spark, tmp_path):
+    """A hundred batches: answers stay the same and few folders are left to read."""
+    path = str(tmp_path / "days")
+    expected = {}
+    for n in range(100):
+        rows = [(k, n * 10 + k) for k in range(n % 5, n % 5 + 3)]
+        expected |= dict(rows)
+        spark.createDataFrame(rows, "key int, value int").coalesce(1).write.parquet(runner.batch_path(path, n))
+        runner.merge_batches(spark, path, runner.newest_per_key(["key"]))
+    assert dict(map(tuple, runner.newest_rows(spark, path, ["key"]).select("key", "value").collect())) == expected
+    assert len(list((tmp_path / "days").iterdir())) <= 2 * (runner.MERGE_AFTER + 2)
+    assert len(list((tmp_path / "days-base").iterdir())) <= 2
+    # A batch that runs again sees what it saw at first: the batches before it.
+    assert runner.read_batches(spark, path, before=99).agg(F.max("batch_id")).first()[0] == 98
+
+
+def test_messages_are_judged(spark):
+    good = '{"event_type": "feedback_received", "action_id": 3, "feedback": {"completion": 1.0}}'
+    cases = {
+        good: None,
+        good[:-9]: "unreadable",
+        "": "unreadable",
+        None: "unreadable",
+        "[1, 2": "unreadable",
+        good.replace("3", '"x"'): "wrong type",
+        good.replace("1.0", '"much"'): "wrong type",
+        good.replace("3", "18"): "unknown action",
+        good.replace("3", "-1"): "unknown action",
+        good.replace("3", "null"): "no action",
+        '{"action_id": 3}': "no event type",
+        "{}": "no event type",
+    }
+    rows = [(v, n) for n, v in enumerate(cases)] + [('{"event_type": "plan_served"}', 99)]
+    found = judged_feedback(spark.createDataFrame(rows, "value string, offset int")).collect()
+    assert {r.offset: r.reason for r in found} == dict(enumerate(cases.values()))
+
+
+def test_a_batch_of_messages_run_again_changes_nothing(spark, tmp_path):
+    """Late and repeated messages are kept apart; running the last batch again gives the same rows."""
+    out = str(tmp_path / "out")
+
+    def message(event, day, action=3):
+        return (json.dumps({"event_type": "feedback_received", "event_id": event, "timestamp": f"2024-01-{day:02d}", "action_id": action}),)
+
+    batches = [
+        [message("a", 20), message("a", 20), message("b", 21)],
+        [message("a", 20), message("c", 2), message("d", 22), message(None, 22), message(None, 22)],
+        [message("d", 22), message("e", 11), ("broken",), message("f", 23, 40)],
+    ]
+    for _ in range(2):
+        for n, rows in enumerate(batches):
+            jobs.learn_batch(spark.createDataFrame(rows, "value string"), n, out, "10 DAYS")
+        posterior, rejected = jobs.feedback_results(spark, out, ["value"])
+        reasons = sorted((r.batch_id, r.reason) for r in rejected.collect())
+        assert reasons == [(0, "repeated"), (1, "late"), (1, "repeated"), (2, "late"), (2, "repeated"), (2, "unknown action"), (2, "unreadable")]
+        assert as_dict(posterior)[3][2] == 5
+
+
 def test_alerts_only_for_unsafe_states(spark, tmp_path):
     states = spark.createDataFrame(
         [(1, dt.date(2024, 1, 1), 9, False), (2, dt.date(2024, 1, 1), 3, False)],

@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -31,8 +32,10 @@ from pulseframe.llm.wordhash import LOWER, WordHashes
 TOP = 10
 #: Bytes that make up terms, after A-Z are lowered: digits, letters and all beyond ASCII.
 TERM_BYTES = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
-#: Text of the documents that make one row of the index, and places of a sketch per distinct term, at least.
-GROUP_BYTES = 1 << 20
+#: Text, and number, of the documents that make one row of the index at most, but for one long document.
+GROUP_BYTES = 1 << 18
+GROUP_DOCS = 256
+#: Places of a sketch per distinct term, at least.
 PLACES = 4
 #: Bits of a hash that the places of each sketch are taken from on.
 SHIFTS = (0, 32)
@@ -40,6 +43,8 @@ SHIFTS = (0, 32)
 QUERY_BLOCK = 256
 JOB_QUERIES = 4096
 JOB_TERMS = 4 << 20
+#: Places looked up at once: documents times terms of a block.
+CELLS = 1 << 19
 #: Documents that are scored exactly before the bound is compared again.
 STEP = 32
 #: The levels that counts are rounded up to: all up to 127, then eight to each doubling, then any.
@@ -90,22 +95,24 @@ def term_index(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     kind = source.schema["id"].dataType.simpleString()
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = WordHashes(TERM_BYTES)
+        find, press = WordHashes(TERM_BYTES), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             low = size = 0
             for row, text in enumerate(texts):
                 size += len(text)
-                if size >= GROUP_BYTES or row == len(texts) - 1:
+                if size >= GROUP_BYTES or row + 1 - low == GROUP_DOCS or row == len(texts) - 1:
                     n, distinct, hashes, counts = _counted(texts[low : row + 1], find)
                     sketches = np.concatenate([sketched(distinct, hashes, counts, shift) for shift in SHIFTS])
-                    binary = [distinct.astype(np.int32), hashes, counts.astype(np.int32), sketches]
+                    # Counts are small and sketches mostly empty, so both shrink to little.
+                    binary = [x.tobytes() for x in (distinct.astype(np.int32), hashes)]
+                    binary += [press.compress(x.tobytes()) for x in (counts.astype(np.int32), sketches)]
                     columns = [
                         pa.ListArray.from_arrays(pa.array([0, row + 1 - low], pa.int32()), batch.column(0).slice(low, row + 1 - low)),
                         pa.array([n.tolist()], pa.list_(pa.int64())),
                         pa.array([int((n > 0).sum())], pa.int64()),
                         pa.array([int(n.sum())], pa.int64()),
-                        *(pa.array([x.tobytes()], pa.binary()) for x in binary),
+                        *(pa.array([x], pa.binary()) for x in binary),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["ids", "n", "filled", "terms", "distinct", "hashes", "counts", "sketches"])
                     low, size = row + 1, 0
@@ -163,42 +170,47 @@ class Group:
         self.ids = row["ids"]
         self.m = np.array([25 + 75 * n * filled // terms for n in row["n"]], np.int64)
         self.distinct = np.frombuffer(row["distinct"], np.int32).astype(np.int64)
-        self.hashes, self.counts = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], np.int32)
-        self.sketches = np.frombuffer(row["sketches"], np.uint8).reshape(len(SHIFTS), -1)
+        self.sizes = sketch_sizes(self.distinct)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        whole = lambda name, size: zstandard.ZstdDecompressor().decompress(row[name], max_output_size=max(1, int(size)))
+        self.hashes = np.frombuffer(row["hashes"], np.uint64)
+        self.counts = np.frombuffer(whole("counts", 4 * len(self.hashes)), np.int32)
+        self.sketches = np.frombuffer(whole("sketches", len(SHIFTS) * self.sizes.sum()), np.uint8).reshape(len(SHIFTS), -1)
         self.stops = np.cumsum(self.distinct)
 
-    def bounds(self, queries: Queries) -> np.ndarray:
-        """Upper bounds of the scores of all documents and queries, from the sketches alone."""
-        sizes = sketch_sizes(self.distinct)
-        offset, mask = (np.cumsum(sizes) - sizes)[:, None], (sizes - 1).astype(np.uint64)[:, None]
+    def bounds(self, queries: Queries, docs: slice) -> np.ndarray:
+        """Upper bounds of the scores of some documents and all queries, from the sketches alone."""
+        offset, mask = self.offsets[docs, None], (self.sizes[docs, None] - 1).astype(np.uint64)
         levels = None
         for shift, sketch in zip(SHIFTS, self.sketches):
             here = sketch[((queries.terms >> np.uint64(shift))[None, :] & mask).astype(np.int64) + offset]
             levels = here if levels is None else np.minimum(levels, here)
-        by_level = np.full((len(sizes), 256), MOST, np.float32)
-        by_level[:, :255] = impact(LEVELS[None, :255], self.m[:, None])
-        impacts = np.take_along_axis(by_level, levels.astype(np.intp), axis=1)
+        by_level = np.full((len(offset), 256), MOST, np.float32)
+        by_level[:, :255] = impact(LEVELS[None, :255], self.m[docs, None])
+        impacts = by_level.ravel()[levels + (np.arange(len(offset)) << 8)[:, None]]
         # Single precision is wrong by far less than a ten thousandth.
         return (impacts @ queries.single) * np.float32(1.0001)
 
 
 class Exact:
-    """Exact scores of the documents of a group; terms of a document are looked up when it is first asked for."""
+    """Exact scores of some documents of a group; terms of a document are looked up when it is first asked for."""
 
-    def __init__(self, group: Group, queries: Queries) -> None:
-        self.group, self.queries = group, queries
-        self.impacts = np.zeros((len(group.m), len(queries.terms)), np.int32)
-        self.known = np.zeros(len(group.m), bool)
+    def __init__(self, group: Group, queries: Queries, docs: slice) -> None:
+        self.group, self.queries, self.first = group, queries, docs.start
+        self.impacts = np.zeros((docs.stop - docs.start, len(queries.terms)), np.int32)
+        self.known = np.zeros(len(self.impacts), bool)
 
     def __call__(self, docs: np.ndarray, query: int) -> np.ndarray:
+        """Scores of the documents at these places of the slice."""
         group = self.group
         for d in docs[~self.known[docs]].tolist():
-            part = slice(group.stops[d] - group.distinct[d], group.stops[d])
+            whole = self.first + d
+            part = slice(group.stops[whole] - group.distinct[whole], group.stops[whole])
             own = group.hashes[part]
             at = np.searchsorted(self.queries.terms, own)
             at[at == len(self.queries.terms)] = 0
             has = self.queries.terms[at] == own
-            self.impacts[d, at[has]] = impact(group.counts[part][has].astype(np.int64), group.m[d])
+            self.impacts[d, at[has]] = impact(group.counts[part][has].astype(np.int64), group.m[whole])
         self.known[docs] = True
         places, weights = self.queries.own[query]
         return self.impacts[docs[:, None], places].astype(np.int64) @ weights
@@ -206,7 +218,13 @@ class Exact:
 
 def search_group(group: Group, queries: Queries, best: Best) -> int:
     """Improves ``best`` by the documents of a group; returns how many pairs were scored exactly."""
-    bounds, exact = group.bounds(queries), Exact(group, queries)
+    step = max(1, CELLS // len(queries.terms))
+    cuts = [*range(0, len(group.m), step), len(group.m)]
+    return sum(_search(group, queries, best, slice(low, high)) for low, high in zip(cuts[:-1], cuts[1:]))
+
+
+def _search(group: Group, queries: Queries, best: Best, part: slice) -> int:
+    bounds, exact = group.bounds(queries, part), Exact(group, queries, part)
     scored = 0
     for q in np.flatnonzero((bounds >= best.least).any(axis=0)).tolist():
         mine = bounds[:, q]
@@ -221,16 +239,19 @@ def search_group(group: Group, queries: Queries, best: Best) -> int:
             scored += len(some)
             good = scores >= best.least[q]
             if good.any():
-                best.add(q, scores[good], [group.ids[d] for d in some[good].tolist()])
+                best.add(q, scores[good], [group.ids[part.start + d] for d in some[good].tolist()])
     return scored
 
 
 def _searched(blocks: list[Queries], filled: int, terms: int, top: int, id_type: pa.DataType):
+    blocks = [b for b in blocks if len(b.terms)]
+
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(len(b.numbers), top) for b in blocks]
         for batch in batches:
             for i in range(batch.num_rows):
-                group = Group(batch.slice(i, 1).to_pylist()[0], filled, terms)
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                group = Group(row, filled, terms)
                 for queries, found in zip(blocks, best):
                     search_group(group, queries, found)
         rows = [(b.numbers[q], -s, i) for b, f in zip(blocks, best) for q, r in enumerate(f.rows) for s, _, i in r]
@@ -319,7 +340,7 @@ def ranked_search(
         }
         parts = [list(range(low, min(low + QUERY_BLOCK, len(rows)))) for low in range(0, len(rows), QUERY_BLOCK)]
         blocks = [Queries.of(part, [terms[q] for q in part], weight) for part in parts]
-        work = _searched([b for b in blocks if len(b.terms)], total.filled, total.terms, top, id_type)
+        work = _searched(blocks, total.filled, total.terms, top, id_type)
         found = index.select("ids", "n", "distinct", "hashes", "counts", "sketches").mapInArrow(
             work, f"query long, score long, id {kinds['id'].simpleString()}"
         )

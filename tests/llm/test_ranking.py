@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from pulseframe.llm import ranking
 from pulseframe.llm.wordhash import WordHashes
@@ -59,6 +60,7 @@ def tables():
 def test_search(spark, tables, monkeypatch, group, jobs, block, batch):
     docs, items = tables
     monkeypatch.setattr(ranking, "GROUP_BYTES", group)
+    monkeypatch.setattr(ranking, "CELLS", group // 4)
     monkeypatch.setattr(ranking, "JOB_QUERIES", jobs)
     monkeypatch.setattr(ranking, "QUERY_BLOCK", block)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
@@ -75,7 +77,9 @@ def group_of(docs):
     find = WordHashes(ranking.TERM_BYTES)
     n, distinct, hashes, counts = ranking._counted([(t or "").encode() for _, t in docs], find)
     row = {"ids": [i for i, _ in docs], "n": n.tolist(), "distinct": distinct.astype(np.int32).tobytes(), "hashes": hashes.tobytes()}
-    row |= {"counts": counts.astype(np.int32).tobytes(), "sketches": b"".join(ranking.sketched(distinct, hashes, counts, s).tobytes() for s in ranking.SHIFTS)}
+    press = zstandard.ZstdCompressor().compress
+    sketches = b"".join(ranking.sketched(distinct, hashes, counts, s).tobytes() for s in ranking.SHIFTS)
+    row |= {"counts": press(counts.astype(np.int32).tobytes()), "sketches": press(sketches)}
     return ranking.Group(row, int((n > 0).sum()), int(n.sum())), find
 
 
@@ -87,8 +91,8 @@ def test_bounds_hold_and_spare_documents(tables):
     df = Counter(group.hashes.tolist())
     weight = {t: math.floor(1000 * math.log((2 * len(docs) + 2) / (2 * n + 1))) for t, n in df.items()}
     queries = ranking.Queries.of(list(range(len(rows))), rows, weight)
-    bounds, exact = group.bounds(queries), ranking.Exact(group, queries)
-    some = np.arange(len(docs))
+    some, whole = np.arange(len(docs)), slice(0, len(docs))
+    bounds, exact = group.bounds(queries, whole), ranking.Exact(group, queries, whole)
     for q in range(len(rows)):
         assert (bounds[:, q] >= exact(some, q)).all()
     best = ranking.Best(len(rows), 10)

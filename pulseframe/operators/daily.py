@@ -91,7 +91,11 @@ def unify(sources: dict[str, DataFrame]) -> DataFrame:
 
     ``sources`` is ordered by preference. A measure found in several sources keeps every
     original as ``<measure>_<source>`` and gets a canonical column with the first present
-    value; a measure found in one source passes through.
+    value; a measure found in one source passes through. A source has one row per user and date.
+
+    Two sources are joined, which shuffles each once. The rows of a full join no longer lie by their
+    keys, so that a third source would shuffle them again: three and more are stacked and folded in
+    one aggregation instead.
     """
     owners: dict[str, list[str]] = {}
     for label, df in sources.items():
@@ -103,7 +107,12 @@ def unify(sources: dict[str, DataFrame]) -> DataFrame:
         df.withColumnsRenamed({n: f"{n}_{label}" for n in df.columns if n in shared})
         for label, df in sources.items()
     ]
-    joined = reduce(lambda a, b: a.join(b, KEYS, "full"), renamed)
+    if len(renamed) <= 2:
+        joined = reduce(lambda a, b: a.join(b, KEYS, "full"), renamed)
+    else:
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), renamed)
+        # A column comes from one source alone, which has one row per key.
+        joined = stacked.groupBy(*KEYS).agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns if c not in KEYS])
     canonical = {
         name: F.coalesce(*[F.col(f"{name}_{label}") for label in owners[name]])
         for name in owners

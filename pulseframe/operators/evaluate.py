@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.operators.bounded import CHUNK_ROWS
+from pulseframe.operators.bounded import CHUNK_ROWS, by_key
 from pulseframe.operators.catalog import INTENSITY_RANK
 
 ROLLING = 50
@@ -53,11 +53,16 @@ def policy_sizes(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("policy").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_size(episodes: DataFrame) -> DataFrame:
+    """Add ``n``, the episodes of the row's policy; the log itself is not shuffled for it."""
+    return episodes.withColumn("n", by_key(policy_sizes(episodes), "policy", F.col("n")))
+
+
 def policy_metrics(episodes: DataFrame) -> DataFrame:
     """Reward, optimality and overtraining per policy, and the means of its first and second half."""
     late = F.col("episode") >= F.floor(F.col("n") / 2)
     metrics = (
-        episodes.join(policy_sizes(episodes), "policy")
+        with_size(episodes)
         .groupBy("policy")
         .agg(
             F.avg("reward").alias("mean_reward"),
@@ -114,7 +119,7 @@ def convergence_episode(episodes: DataFrame, window: int = ROLLING, tail: int =
     The quartile needs only the last tail + window episodes of a policy, so it is taken
     from those before the pass over all episodes.
     """
-    sized = episodes.join(policy_sizes(episodes), "policy")
+    sized = with_size(episodes)
     ending = sized.where(F.col("episode") > F.col("n") - tail - window)
     target = (
         rolling_reward(ending, window, keep=("n",))
@@ -122,13 +127,9 @@ def convergence_episode(episodes: DataFrame, window: int = ROLLING, tail: int =
         .groupBy("policy")
         .agg(F.percentile("rolling_reward", F.lit(0.25)).alias("target"), F.max("n").alias("n"))
     )
-    reached = (F.col("episode") > window) & (F.col("rolling_reward") >= F.col("target"))
-    return (
-        rolling_reward(episodes, window)
-        .join(target, "policy")
-        .groupBy("policy")
-        .agg(
-            F.max("target").alias("target"),
-            F.coalesce(F.min(F.when(reached, F.col("episode"))), F.max("n")).alias("convergence_episode"),
-        )
+    rolled = rolling_reward(episodes, window).withColumn("_aim", by_key(target, "policy", F.struct("target", "n")))
+    reached = (F.col("episode") > window) & (F.col("rolling_reward") >= F.col("_aim.target"))
+    return rolled.groupBy("policy").agg(
+        F.max("_aim.target").alias("target"),
+        F.coalesce(F.min(F.when(reached, F.col("episode"))), F.max("_aim.n")).alias("convergence_episode"),
     )

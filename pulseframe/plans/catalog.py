@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulseframe.plans import daily, decisions, ingest, learning, reports, streams
+from pulseframe.plans import daily, decisions, ingest, learning, reports, state, streams
 from pulseframe.plans.registry import ORACLES, QUERIES
 
-MODULES = (ingest, daily, decisions, learning, reports, streams)
+MODULES = (ingest, daily, decisions, learning, reports, state, streams)
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -72,9 +72,7 @@ def apple_daily(spark, folder):
     return dy.daily_measures(source(spark, folder, "apple_records"), "value")
 
 
-@query(
-    "health_export_daily",
-    """select user_id, date, avg(case when h then number end) as hr_mean, min(case when h then number end) as hr_min,
+EXPORT_DAILY = """select user_id, date, avg(case when h then number end) as hr_mean, min(case when h then number end) as hr_min,
        max(case when h then number end) as hr_max, stddev_samp(case when h then number end) as hr_std,
        case when max(type = 'steps') then coalesce(sum(case when type = 'steps' then number end), 0e0) end as steps,
        case when max(type = 'active_energy') then coalesce(sum(case when type = 'active_energy' then number end), 0e0) end
@@ -86,17 +84,21 @@ def apple_daily(spark, folder):
        avg(case when type = 'hrv' then number end) as hrv, min(case when h then number end) as resting_hr
        from (select *, cast(start_local as date) as date, type in ('heart_rate', 'resting_heart_rate') as h,
                (floor(epoch(end_ts)) - floor(epoch(start_ts))) / 3600e0 as hours from export
-             where type not in ('workout', 'HKQuantityTypeIdentifierBodyMass')) e group by user_id, date""",
-    "export",
-    MEASURE_DOUBLES,
-)
-def health_export_daily(spark, folder):
+             where type not in ('workout', 'HKQuantityTypeIdentifierBodyMass')) e group by user_id, date"""
+
+
+def health_export_measures(spark, folder):
     """XML export to daily rows; the user is the number in the source name."""
     records = measurable(health_records(spark, folder))
     user = F.regexp_extract("source", "([0-9]+)", 1).cast("bigint")
     return dy.daily_measures(records.withColumn("user_id", user))
 
 
+@query("health_export_daily", EXPORT_DAILY, "export", MEASURE_DOUBLES)
+def health_export_daily(spark, folder):
+    return health_export_measures(spark, folder)
+
+
 SHARED = "resting_hr hrv steps active_calories sleep_duration_hours".split()
 
 

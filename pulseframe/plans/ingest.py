@@ -12,7 +12,7 @@ from pulseframe.operators import features as ft
 from pulseframe.operators import quality as ql
 from pulseframe.operators.catalog import decorate
 from pulseframe.operators.history import flatten_history, nest_history
-from pulseframe.operators.posterior import beta_posterior
+from pulseframe.operators.posterior import beta_posterior, rejected_feedback
 from pulseframe.operators.reward import with_reward
 from pulseframe.plans.inputs import source
 from pulseframe.plans.oracle_parts import ACTIONS, FEATURE_DOUBLES, FEATURE_SQL, HISTORY, POSTERIOR
@@ -126,26 +126,51 @@ TRENDS = {
 
 @query(
     "scan_oura_trends",
-    """select user_id, date, readiness_score, hrv, resting_hr,
-       case when hrv is not null then sleep_duration_hours end as sleep_duration_hours,
-       case when hrv is not null then steps end as steps,
-       case when hrv is not null then active_calories end as active_calories from oura_day""",
+    """select user_id, date, readiness_score, hrv, resting_hr, sleep_duration_hours, steps, active_calories from oura_day""",
     "oura_day",
     "readiness_score hrv resting_hr sleep_duration_hours steps active_calories",
 )
 def scan_oura_trends(spark, folder):
-    """Two sets of files: days with a night reading deliver every column, the others lack three."""
-    day = source(spark, folder, "oura_day")
-    full = day.withColumnsRenamed(TRENDS)
-    short = full.drop("Total Sleep Duration", "Steps", "Activity Burn")
+    """Two sets of files with all values of their days: one has its columns in another order, and none
+    for the night reading, which its days lack."""
+    day = source(spark, folder, "oura_day").withColumnsRenamed(TRENDS)
+    nights = day.where(F.col("Average HRV").isNotNull())
+    others = day.where(F.col("Average HRV").isNull()).drop("Average HRV")
+    others = others.select(*reversed(others.columns))
     paths = [
-        landed(spark, folder, "trends-full", lambda p: sinks.write_csv(full.where(F.col("Average HRV").isNotNull()), p)),
-        landed(spark, folder, "trends-short", lambda p: sinks.write_csv(short.where(F.col("Average HRV").isNull()), p)),
+        landed(spark, folder, "trends-nights", lambda p: sinks.write_csv(nights, p)),
+        landed(spark, folder, "trends-others", lambda p: sinks.write_csv(others, p)),
     ]
     trends = oura.scan_oura_trends(spark, paths)
     return trends.withColumn("user_id", F.col("user_id").cast("bigint"))
 
 
+BROKEN = """select 'health_xml' as source, 'unreadable record' as reason, count(*) as row_count from export where k % 17 = 0
+  union all select 'feedback', reason, count(*) from (select case when action is null then 'no action'
+      when action not between 0 and 17 then 'unknown action' end as reason
+    from (select case when n % 20 <> 3 then n % 20 - 1 end as action from fb_events) a) r where reason is not null group by reason"""
+
+
+@query("rejected_rows", BROKEN, "export fb_events")
+def rejected_rows(spark, folder):
+    """What readers and statistics leave out, by source and reason: records whose tag can't be read
+    and feedback on no known action. States that break rules are counted by ``quarantine_counts``."""
+
+    def write(path: str) -> None:
+        # Every 17th record has a value without quotes, as a broken export might.
+        e = source(spark, folder, "export")
+        value = F.when(F.col("k") % 17 == 0, F.lit("value=3 ")).otherwise(F.lit('value="3" '))
+        tag = F.concat(F.lit('<Record type="'), "hk_type", F.lit('" '), value, F.lit('sourceName="'), "source", F.lit('"/>'))
+        e.select(tag.alias("value")).write.text(path)
+
+    xml = health_xml.quarantined_records(spark, landed(spark, folder, "export-broken", write))
+    xml = xml.select(F.lit("health_xml").alias("source"), F.lit("unreadable record").alias("reason"))
+    action = F.when(F.col("n") % 20 != 3, F.col("n") % 20 - 1)
+    feedback = rejected_feedback(source(spark, folder, "fb_events").withColumn("action_id", action))
+    feedback = feedback.select(F.lit("feedback").alias("source"), "reason")
+    return xml.unionByName(feedback).groupBy("source", "reason").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def _payload(name: str, kind: str, fields: dict[str, str], select: str, doubles: str) -> None:
     """``fields`` maps payload fields to expressions over the daily rows."""
 

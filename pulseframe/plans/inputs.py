@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.operators.bounded import dense_index
+from pulseframe.session import scratch_path
 from pulseframe.sources.files import read_table
 
 TABLES = ("customer", "part", "orders", "lineitem", "events", "conversations")
@@ -142,6 +143,17 @@ select event_id, user_id, k,
   case when event_id % 2 = 0 then ' -0500' else ' +0000' end as zone,
   concat('watch-', cast(user_id as string)) as source
 from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from {events}) e""",
+    # What users report, some fields of it, and what their profile changes to; several times a day at most.
+    "reports": """
+select user_id, cast(ts as date) as date, case when k % 3 <> 0 then cast(1 + k % 10 as int) end as fatigue,
+  cast(1 + event_id % 10 as int) as motivation, case when k % 4 <> 1 then cast(1 + (k * 3) % 10 as int) end as soreness,
+  cast(1 + k % 5 as int) as stress, case when event_id % 2 = 0 then cast(1 + event_id % 5 as int) end as mood
+from {records} where type = 'hrv'""",
+    "profile_changes": """
+select user_id, cast(ts as date) as date, case k % 4 when 0 then 'strength' when 1 then 'endurance' when 2 then 'fat_loss' end as primary_goal,
+  case when k % 2 = 0 then 'bulking' else 'cutting' end as current_phase,
+  case k % 3 when 0 then split('knee', ',') when 1 then split('back,knee', ',') end as injury_history
+from {records} where type = 'active_energy' and k % 5 = 0""",
     "form_feedback": """
 select conv_id as user_id, turn, text as comment, cast(length(text) % 350 as int) - 10 as actual_duration,
   case when turn % 5 = 0 then null else turn % 2 = 1 end as thumbs_up,
@@ -155,6 +167,9 @@ from {sessions}""",
 }
 
 
+_numbered_logs: dict[tuple[str, str], str] = {}
+
+
 def _names(sql: str) -> list[str]:
     known = [*TABLES, *INPUTS]
     return [n for n in known if "{" + n + "}" in sql]
@@ -165,7 +180,13 @@ def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name in TABLES:
         return read_table(spark, folder, name)
     if name == "episodes":
-        return _episodes(source(spark, folder, "events"))
+        # Numbered once and kept, as every query reads the log several times.
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in _numbered_logs:
+            path = scratch_path(spark, "episodes")
+            _episodes(source(spark, folder, "events")).write.parquet(path)
+            _numbered_logs[key] = path
+        return spark.read.parquet(_numbered_logs[key])
     sql = INPUTS[name]
     return spark.sql(sql, **{n: source(spark, folder, n) for n in _names(sql)})
 

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from pulseframe.llm.components import saved
+
 #: Rows the model is fitted on at most (in expectation): positives, and unlabelled texts.
 POSITIVES = 20_000
 UNLABELLED = 40_000
@@ -159,9 +161,11 @@ def train(
 ) -> Model:
     """A model from ``labels`` (``id_col, quality``) and the texts of ``docs``.
 
-    Only the texts of rows labelled 1 are looked up; the prior is the share of 1 among the
-    labels. Of both kinds of text a share chosen by hash is used, so that the given numbers
-    are met in expectation. Null labels and ids are left out, repeated ones count once.
+    Only the texts of rows labelled 1 are looked up. The prior is estimated as the share of 1
+    among the labels, which stand for the corpus as they are drawn from it; no text labelled 0 is
+    told apart from an unlabelled one. Of both kinds of text a share chosen by hash is used, so that
+    the given numbers are met in expectation: the driver gets some 22 numbers for each of them,
+    whatever the size of the corpus. Null labels and ids are left out, repeated ones count once.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("quality").alias("quality"))
     counts = known.agg(F.count("*"), F.coalesce(F.sum(F.col("quality").cast("long")), F.lit(0))).first()
@@ -173,8 +177,9 @@ def train(
     marked = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(good), F.col(id_col) == F.col("__good"), "left")
     trusted = marked.select(F.col("__good").isNotNull().alias("trusted"), F.col(id_col), F.col(text_col))
     used = trusted.where(F.col("trusted") | _some(F.coalesce(F.col(id_col).cast("string"), F.lit("")), share))
+    # Measured by all tasks and written first: read back, it is some numbers for each text of the sample.
     p, u = [], []
-    for row in _measured(used, text_col).toLocalIterator():
+    for row in saved(docs.sparkSession, _measured(used, text_col), "sample").collect():
         (p if row["trusted"] else u).append(row["measures"])
     # A trusted text is a text like any other, too: those drawn make up their part of the unlabelled.
     shape = lambda x: np.array(x, float).reshape(-1, MEASURES)

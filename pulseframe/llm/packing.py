@@ -200,11 +200,12 @@ def pack(
 ) -> DataFrame:
     """Adds ``sequence_id long`` and ``offset long`` to items of known lengths.
 
-    ``expected_items`` sets the number of groups, one for every ``group_items``. Within a
-    group items arrive in the order of a hash over all their columns, so the same rows are
-    packed alike wherever they run. Offsets leave no gap. A null or negative length counts
-    as 0; one above ``capacity`` fails. An empty table gives no rows. Columns already named
-    ``sequence_id`` or ``offset`` are replaced.
+    ``expected_items``, how many items shorter than ``capacity`` there are at most, sets the number of
+    groups, one for every ``group_items``. Items as long as ``capacity`` fill a sequence of their own
+    and join no group. Groups are dealt by a hash of the row and its place, so rows that repeat are
+    spread, too; within a group items arrive in the order of a hash over all their columns. Offsets
+    leave no gap. A null or negative length counts as 0; one above ``capacity`` fails. An empty table
+    gives no rows. Columns already named ``sequence_id`` or ``offset`` are replaced.
     """
     items = items.drop("sequence_id", "offset")
     names = items.columns
@@ -213,22 +214,48 @@ def pack(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("item"),
         F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("length"),
         F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("arrival"),
-    ).withColumn("group", F.pmod(F.xxhash64("arrival"), F.lit(groups)))
+        F.monotonically_increasing_id().alias("place"),
+    ).withColumn(
+        # A full item gets a negative number of its own, which is its sequence's as well.
+        "group",
+        F.when(F.col("length") == capacity, -1 - F.col("place")).otherwise(F.pmod(F.xxhash64("arrival", "place"), F.lit(groups))),
+    )
     item_type = placed.schema["item"].dataType.simpleString()
 
-    def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("arrival", "ascending"), ("length", "ascending")])
-        bins, offsets = best_fit(table.column("length").to_pylist(), capacity, open_bins)
-        base = key[0].as_py() << 32
-        return pa.table(
-            {
-                "item": table.column("item"),
-                "sequence_id": pa.array([base + b for b in bins], pa.int64()),
-                "offset": pa.array(offsets, pa.int64()),
-            }
-        )
-
-    done = placed.groupBy("group").applyInArrow(packed, f"item {item_type}, sequence_id long, offset long")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by group and arrival, full items first; a group is packed once its last row is met."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            full = int(np.searchsorted(batch.column(2).to_numpy(), 0))
+            if full:
+                zeros = pa.array(np.zeros(full, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, full), batch.column(2).slice(0, full), zeros], names=names_out)
+            batch = batch.slice(full)
+            if not batch.num_rows:
+                continue
+            group = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
+            if held and held[0].column(2)[0].as_py() != group[0]:
+                yield of_group(held)
+                held = []
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                held.append(batch.slice(low, high - low))
+                if high < batch.num_rows:
+                    yield of_group(held)
+                    held = []
+        if held:
+            yield of_group(held)
+
+    def of_group(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        bins, offsets = best_fit(rows.column(1).to_pylist(), capacity, open_bins)
+        base = rows.column(2)[0].as_py() << 32
+        columns = [rows.column(0), pa.array([base + b for b in bins], pa.int64()), pa.array(offsets, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=names_out)
+
+    names_out = ["item", "sequence_id", "offset"]
+    dealt = placed.select("item", "length", "group", "arrival").repartition("group").sortWithinPartitions("group", "arrival", "length")
+    done = dealt.select("item", "length", "group").mapInArrow(packed, f"item {item_type}, sequence_id long, offset long")
     return done.select("item.*", "sequence_id", "offset")
 
 

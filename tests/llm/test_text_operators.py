@@ -264,6 +264,26 @@ def test_best_fit_closes_the_fullest():
     assert len(set(packing.best_fit(lengths)[0])) < 1.02 * sum(lengths) / 2048
 
 
+def test_packing_spreads_full_pieces_and_repeated_rows(spark):
+    """Full items share no sequence and no group; a table of one repeated row is packed in many groups."""
+    pick = random.Random(2)
+    rows = [(1, pick.choice([64, 64, pick.randint(0, 63)])) for _ in range(600)] + [(2, 10)] * 900 + [(3, None), (3, -4)]
+    items = spark.createDataFrame([(*r, "x") for r in rows], "id int, length int, offset string").repartition(5)
+    packed = packing.pack(items, 1500, capacity=64, open_bins=4, group_items=100)
+    assert packed.columns == ["id", "length", "sequence_id", "offset"]
+    found = packed.collect()
+    assert sorted(repr((r.id, r.length)) for r in found) == sorted(repr(r) for r in rows)
+    filled = Counter()
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset, max(r.length or 0, 0))):
+        assert r.offset == filled[r.sequence_id]
+        filled[r.sequence_id] += max(r.length or 0, 0)
+    assert max(filled.values()) <= 64
+    full = Counter(r.sequence_id for r in found if r.length == 64)
+    assert max(full.values()) == 1 and all(filled[s] == 64 for s in full)
+    assert len({r.sequence_id >> 32 for r in found if r.id == 2}) >= 10
+    assert packing.pack(items.limit(0), 0).count() == 0
+
+
 def test_words_as_the_tokenizer_takes_them():
     tokenizer, words = Tokenizer.from_file(TOKENIZER), packing._Words(TOKENIZER)
     pick = random.Random(1)

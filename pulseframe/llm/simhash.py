@@ -157,28 +157,37 @@ def group_edges(fp: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return edges
 
 
-def _small_groups(keys: DataFrame, bits: int) -> DataFrame:
-    """Edges within each key's rows, which lie together and in order."""
+def _grouped(keys: DataFrame, largest_group: int, bits: int) -> DataFrame:
+    """``a, b`` for the edges within each key's rows, and ``a`` alone for the fingerprints of larger groups."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        crowded = None  # the key whose rows are too many to be held
         for batch in batches:
             key = np.concatenate([key, batch.column(0).to_numpy()])
             fp = np.concatenate([fp, batch.column(1).to_numpy()])
             whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            yield edges_of(key[:whole], fp[:whole])
+            yield edges_of(key[:whole], fp[:whole], crowded)
             key, fp = key[whole:], fp[whole:]
-        yield edges_of(key, fp)
+            if len(key) > largest_group or (len(key) and key[0] == crowded):
+                crowded = key[0]
+                yield edges_of(key, fp, crowded)
+                key, fp = key[:0], fp[:0]
+        yield edges_of(key, fp, crowded)
 
-    def edges_of(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def edges_of(key: np.ndarray, fp: np.ndarray, crowded: int | None) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.diff(key, prepend=key[:1] - 1, append=key[-1:] + 1))
         sizes = np.diff(cuts)
-        first = cuts[:-1][sizes == 2]
+        large = sizes > largest_group
+        if crowded is not None:
+            large |= key[cuts[:-1]] == crowded
+        first = cuts[:-1][(sizes == 2) & ~large]
         near = first[np.bitwise_count((fp[first] ^ fp[first + 1]).view(np.uint64)) <= bits]
         edges = [*zip(fp[near].tolist(), fp[near + 1].tolist())]
-        for at, size in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        middle = (sizes > 2) & ~large
+        for at, size in zip(cuts[:-1][middle].tolist(), sizes[middle].tolist()):
             edges += group_edges(fp[at : at + size], bits)
-        edges = sorted(set(edges))
+        edges = sorted(set(edges)) + [(x, None) for x in np.unique(fp[np.repeat(large, sizes)]).tolist()]
         return pa.RecordBatch.from_arrays(
             [pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"]
         )
@@ -221,13 +230,13 @@ def _large_groups(prints: DataFrame) -> DataFrame:
 
 def fingerprint_edges(prints: DataFrame, largest_group: int = LARGEST_GROUP) -> DataFrame:
     """``a, b``: edges that join the distinct fingerprints in ``fp`` just as all links do."""
-    # One row becomes a hundred, so rows are dealt to as many tasks as the keys need.
-    keys = fuzzy_keys(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keys = keys.join(shared, "key")
-    small = _small_groups(keys.where(F.col("n") <= largest_group).select("key", "fp"), BITS)
-    large = _large_groups(keys.where(F.col("n") > largest_group).select("fp").distinct())
-    return small.unionByName(large)
+    spark = prints.sparkSession
+    # One row becomes a hundred, so rows are dealt to as many tasks as the keys need; a plain
+    # repartition by fp would be taken for the one that made fp distinct and left out.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = fuzzy_keys(prints.select("fp").repartition(tasks, F.xxhash64("fp")))
+    found = saved(spark, _grouped(keys, largest_group, BITS), "groups")
+    return found.where("b IS NOT NULL").unionByName(_large_groups(found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()))
 
 
 def near_duplicate_groups(spark: SparkSession, prints: DataFrame, largest_group: int = LARGEST_GROUP) -> DataFrame:

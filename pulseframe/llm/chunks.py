@@ -1,4 +1,4 @@
-"""Documents dealt by hash into chunks, and hash sets exchanged between chunks and buckets.
+"""Documents read together as chunks, and hash sets exchanged between chunks and buckets.
 
 A chunk is a few megabytes of whole documents, compressed once for the shuffle. Operators
 that must know whether something occurs elsewhere turn each chunk into one sorted set of
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,42 +33,44 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 def chunk_count(total: int) -> int:
     """Number of chunks, and of buckets, for so many bytes of text."""
-    size = min(LARGEST_CHUNK_BYTES, max(CHUNK_BYTES, total // CHUNKS))
-    return max(1, math.ceil(total / size))
+    return max(1, math.ceil(total / chunk_size(total)))
 
 
-def chunked(docs: DataFrame, count: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``chunk long, ids array, sizes array<long>, blob binary``: rows of a chunk hold some of
-    its documents, texts as UTF-8 (null: empty) joined and compressed."""
-    source = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    ).select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(count)).alias("chunk"))
+def chunk_size(total: int) -> int:
+    """Bytes of text in a chunk, for so many in all."""
+    return min(LARGEST_CHUNK_BYTES, max(CHUNK_BYTES, total // CHUNKS))
+
+
+def chunked(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``chunk long, ids array, sizes array<long>, blob binary``: each row holds some documents that were
+    read one after the other, texts as UTF-8 (null: empty) joined and compressed.
+
+    Chunks are cut where rows are read, at about ``size`` bytes or where a batch ends, so nothing is
+    shuffled for them and rows that repeat gather in none. They are numbered by task: write them
+    before they are read twice.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            chunk = batch.column(2).to_numpy()
-            order = np.argsort(chunk, kind="stable")
-            cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
-            ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
-            rows = []
-            for start, stop in zip(cuts[:-1], cuts[1:]):
-                picked = order[start:stop]
-                parts = [texts[int(i)].as_py() for i in picked]
-                rows.append((int(chunk[picked[0]]), picked, [len(p) for p in parts], press.compress(b"".join(parts))))
-            if rows:
-                offsets = pa.array(np.cumsum([0, *(len(r[1]) for r in rows)]), pa.int32())
-                taken = ids.take(pa.array(np.concatenate([r[1] for r in rows])))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.ListArray.from_arrays(offsets, taken),
-                        pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                        pa.array([r[3] for r in rows], pa.binary()),
-                    ],
-                    names=["chunk", "ids", "sizes", "blob"],
-                )
+            texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            low = held = 0
+            for row, text in enumerate(texts):
+                held += len(text)
+                if held >= size or row == len(texts) - 1:
+                    some = texts[low : row + 1]
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), batch.column(0).slice(low, len(some)))
+                    columns = [
+                        pa.array([number], pa.int64()),
+                        ids,
+                        pa.array([[len(t) for t in some]], pa.list_(pa.int64())),
+                        pa.array([press.compress(b"".join(some))], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "sizes", "blob"])
+                    number, low, held = number + 1, row + 1, 0
 
     return source.mapInArrow(packed, f"chunk long, ids array<{id_type}>, sizes array<long>, blob binary")
 

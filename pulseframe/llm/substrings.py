@@ -11,6 +11,7 @@ is expected n * n / 2**65 times (0.0005 times among 135 million).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.chunks import (
     chunk_count,
+    chunk_size,
     chunked,
     covering,
     merged_runs,
@@ -30,6 +32,7 @@ from pulseframe.llm.chunks import (
     text_bytes,
     unpacked,
 )
+from pulseframe.llm.components import saved
 
 WINDOW = 35
 #: Odd, so that powers have inverses among 64-bit numbers.
@@ -146,16 +149,21 @@ def substring_dedup(
     n_removed long, spans array<struct<start long, stop long>>`` (maximal intervals of words)
     and ``kept_text string``, the other words joined by single spaces. Null and empty texts
     have no words; an empty table gives no rows. Rows that repeat an id or a text each count
-    as a document. Other columns are left out, whatever their names.
+    as a document. Other columns are left out, whatever their names. Chunks and what buckets tell
+    of them are written to the shared folder, so lost executors repeat little work.
     """
     total = text_bytes(docs, text_col)
     count = chunk_count(total)
-    chunks = chunked(docs, count, id_col, text_col)
+    spark = docs.sparkSession
+    chunks = saved(spark, chunked(docs, chunk_size(total), id_col, text_col), "chunks")
     id_type = chunks.schema["ids"].dataType.elementType.simpleString()
 
-    def sent(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, _, (hashes, times), _ = _set_of(unpacked(table)[1], window)
-        return pa.table(sent_hashes(key[0].as_py(), hashes, times > 1, count))
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                table = pa.Table.from_batches([batch.slice(row, 1)])
+                _, _, (hashes, times), _ = _set_of(unpacked(table)[1], window)
+                yield from pa.table(sent_hashes(table.column("chunk")[0].as_py(), hashes, times > 1, count)).to_batches()
 
     def removed(table: pa.Table, flags: pa.Table) -> pa.Table:
         ids, texts = unpacked(table)
@@ -185,8 +193,9 @@ def substring_dedup(
         )
 
     schema = f"id {id_type}, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept_text string"
-    blocks = chunks.groupBy("chunk").applyInArrow(sent, "bucket long, chunk long, hashes binary, often binary")
+    blocks = chunks.mapInArrow(sent, "bucket long, chunk long, hashes binary, often binary")
     flags = blocks.groupBy("bucket").applyInArrow(repeated_flags, "chunk long, bucket long, flags binary")
+    flags = saved(spark, flags, "flags")
     kept = chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(removed, schema)
     return kept.withColumnRenamed("id", id_col)
 

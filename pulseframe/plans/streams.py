@@ -142,3 +142,26 @@ def stream_daily(spark, folder):
     records = spark.sql(INPUTS["records"], events=table_stream(spark, folder, "events"))
     timed = records.drop("date").withColumns({"ts": F.col("ts").cast("timestamp"), "duration": F.col("value")})
     return jobs.stream_daily(timed, scratch_path(spark, "stream-daily"))
+
+
+@query(
+    "stream_daily_late",
+    """select count(*) as late from events where event_id % 50 = 0
+       and ts <= (select max(ts) from events where event_id % 2 = 1) - interval 1 day""",
+)
+def stream_daily_late(spark, folder):
+    """Every fiftieth record arrives after all others; those of the last day still count. Rows of a
+    micro-batch are held against the watermark of the batch before the last."""
+
+    def deliver(path: str) -> None:
+        events = source(spark, folder, "events")
+        for part in ("event_id % 2 = 1", "event_id % 2 = 0 AND event_id % 50 <> 0", "event_id % 50 = 0"):
+            events.where(part).coalesce(1).write.mode("append").parquet(path)
+
+    path = landed(spark, folder, "events-late", deliver)
+    events = parquet_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    records = spark.sql(INPUTS["records"], events=events)
+    timed = records.drop("date").withColumns({"ts": F.col("ts").cast("timestamp"), "duration": F.col("value")})
+    out = scratch_path(spark, "stream-daily-late")
+    jobs.stream_daily(timed, out)
+    return jobs.late_records(spark, out)

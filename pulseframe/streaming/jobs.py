@@ -181,13 +181,21 @@ def stream_alerts(states: DataFrame, path: str) -> DataFrame:
 
 
 def stream_daily(records: DataFrame, path: str, event_id: str = "event_id", time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Daily measures from a record stream; records later than ``delay`` are dropped.
+    """Daily measures from a record stream; records later than ``delay`` are left out and counted.
 
-    Changed days are written per micro-batch; the newest row of a day is its value.
+    Changed days are written per micro-batch; the newest row of a day is its value. Each run adds
+    the number of late records to a table, see :func:`late_records`.
     """
     unique = records.withWatermark(time, delay).dropDuplicatesWithinWatermark([event_id])
     days = unique.withColumn("date", F.window(time, "1 day"))
     daily = daily_measures(days).withColumn("date", F.to_date("date.start"))
     keys = ["user_id", "date"]
-    write_batches(daily, path, "update", merge=newest_per_key(keys))
-    return newest_rows(records.sparkSession, path, keys)
+    late = write_batches(daily, path, "update", merge=newest_per_key(keys))
+    spark = records.sparkSession
+    spark.createDataFrame([(late,)], "late long").write.mode("append").parquet(f"{path}-late")
+    return newest_rows(spark, path, keys)
+
+
+def late_records(spark: SparkSession, path: str) -> DataFrame:
+    """``late long``: how many records all runs of :func:`stream_daily` found behind the watermark."""
+    return spark.read.parquet(f"{path}-late").agg(F.sum("late").alias("late"))

@@ -45,8 +45,12 @@ def append_available(stream: DataFrame, path: str) -> None:
     query.awaitTermination()
 
 
-def run_batches(stream: DataFrame, path: str, mode: str, write: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream over everything available, handing each micro-batch and its id to ``write``."""
+def run_batches(stream: DataFrame, path: str, mode: str, write: Callable[[DataFrame, int], None]) -> int:
+    """Run a stream over everything available, handing each micro-batch and its id to ``write``.
+
+    Returns how many rows came behind the watermark and were left out, as the progress of the run's
+    last micro-batches tells (as many as ``spark.sql.streaming.numRecentProgressUpdates``).
+    """
     query = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{path}-checkpoint")
@@ -55,6 +59,7 @@ def run_batches(stream: DataFrame, path: str, mode: str, write: Callable[[DataFr
         .start()
     )
     query.awaitTermination()
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
 
 
 def write_batches(
@@ -63,8 +68,8 @@ def write_batches(
     mode: str,
     transform: Callable[[DataFrame, int], DataFrame] = lambda df, batch_id: df,
     merge: Merge | None = None,
-) -> None:
-    """Run a stream over everything available, one folder per micro-batch.
+) -> int:
+    """Run a stream over everything available, one folder per micro-batch; returns the late rows left out.
 
     A batch that is run again after a failure replaces its own folder. With ``merge``, older
     batches are merged as they become many.
@@ -75,7 +80,7 @@ def write_batches(
         if merge is not None:
             merge_batches(stream.sparkSession, path, merge)
 
-    run_batches(stream, path, mode, write)
+    return run_batches(stream, path, mode, write)
 
 
 def batch_path(path: str, batch_id: int) -> str:

@@ -63,6 +63,7 @@ def test_daily_rows_are_updated_and_very_late_ones_dropped(spark, tmp_path):
     land(spark, [(4, 1, NOON, "steps", 1000.0, None)], RECORD, source)
     got = {r.date: r.steps for r in jobs.stream_daily(stream(), out).collect()}
     assert got == {dt.date(2024, 1, 1): 150.0, dt.date(2024, 1, 11): 7.0}
+    assert jobs.late_records(spark, out).first().late == 1
 
 
 def test_recommendations_use_the_stored_posterior(spark, tmp_path):

@@ -36,10 +36,12 @@ PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Fixed values of the HTML standard: elements inside a line of text, without end tag, without text to read.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "object math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle "
+    "semantics annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template svg math iframe object textarea select title canvas audio video".split())
+UNREAD = frozenset("script style noscript template svg annotation annotation-xml iframe textarea select title canvas audio video".split())
 #: Where unread elements end. A title ends with its head at the latest.
 HEAD_END = r"</head(?=[\s/>])|<body(?=[\s/>])"
 ENDS = {t: re.compile(rf"</{t}(?=[\s/>])" + f"|{HEAD_END}" * (t == "title"), re.I | re.A) for t in UNREAD}

@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.session import scratch_path
 
 
+#: The tables written within each open block of ``passing_tables``, innermost last.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`saved` writes in this block are removed at its end, also if it fails. What is
+    made of them must have been written elsewhere by then."""
+    paths: list[str] = []
+    _passing.append(paths)
+    try:
+        yield
+    finally:
+        _passing.remove(paths)
+        for path in paths:
+            remove_table(spark, path)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Remove a table from the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def saved(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder, which cuts lineage and outlives executors."""
     path = scratch_path(spark, label)
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

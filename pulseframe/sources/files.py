@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 from urllib.parse import unquote
 
@@ -48,13 +47,13 @@ def read_csv_by_name(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .groupBy("file")
         .agg(F.min_by("value", "row").alias("header"))
     )
-    by_header: dict[str, list[str]] = defaultdict(list)
-    for row in first.orderBy("file").toLocalIterator():
-        by_header[row["header"]].append(unquote(row["file"]))
+    # One row per distinct header; Spark's reader takes the names of its files from the driver.
+    by_header = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("files").collect()
     if not by_header:
         return spark.createDataFrame([], T.StructType([]))
     parts = [
-        spark.read.option("header", True).option("enforceSchema", False).csv(files) for files in by_header.values()
+        spark.read.option("header", True).option("enforceSchema", False).csv([unquote(f) for f in row["files"]])
+        for row in by_header
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

@@ -67,7 +67,10 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 
 def decorate(df: DataFrame, how: str = "inner") -> DataFrame:
-    """Add the attributes of ``action_id``. The catalogue has 18 rows, so it is broadcast."""
+    """Add the attributes of ``action_id``. The catalogue has 18 rows, so it is broadcast.
+
+    Rows on no known action are left out; ``posterior.rejected_feedback`` returns them with the reason.
+    """
     return df.join(F.broadcast(catalogue(df.sparkSession)), "action_id", how)
 
 

@@ -39,7 +39,7 @@ def unusable_action(action: Column) -> Column:
 
 
 def rejected_feedback(feedback: DataFrame) -> DataFrame:
-    """The rows that posteriors and statistics leave out, with the ``reason``."""
+    """The rows that posteriors, statistics and ``catalog.decorate`` leave out, with the ``reason``."""
     return feedback.withColumn("reason", unusable_action(F.col("action_id"))).where(F.col("reason").isNotNull())
 
 

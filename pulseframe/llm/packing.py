@@ -26,7 +26,7 @@ OPEN_BINS = 1024
 #: Documents whose pieces are packed together, on average.
 GROUP_DOCUMENTS = 16_384
 #: A task's table of encoded words is set back at this size to those met since the last time.
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 400_000
 LONGEST_KNOWN_WORD = 64
 #: Texts whose new words are encoded together.
 TEXTS = 256

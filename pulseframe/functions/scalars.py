@@ -110,3 +110,13 @@ def one_decimal(x: Column) -> Column:
     part = whole - low
     up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (low % 2 == 1))))
     return ((low + up.cast("int")) / 10).cast("string")
+
+
+def to_places(x: Column | str, places: int) -> Column:
+    """A double to so many decimals, as SQL engines without decimal arithmetic round it: the multiple by
+    a power of ten goes to the nearest whole number, halves away from zero. ``F.round`` takes the
+    shortest decimal text instead, so 0.145, a little less in binary, becomes 0.15 there, here 0.14."""
+    scaled = as_column(x) * F.lit(10.0**places)
+    part = scaled % 1
+    step = F.when(part >= 0.5, 1.0).when(part <= -0.5, -1.0).otherwise(0.0)
+    return (scaled - part + step) / F.lit(10.0**places)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseframe.functions.scalars import to_places
+
 # Value domains.
 WORKOUT_DOMAIN = (
     "Upper Body Strength",
@@ -113,7 +115,7 @@ def quarantine_counts(validated: DataFrame) -> DataFrame:
 
 
 def bmi() -> Column:
-    return F.round(F.col("weight") / F.pow(F.col("height") / 100, 2), 2)
+    return to_places(F.col("weight") / F.pow(F.col("height") / 100, 2), 2)
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulseframe.functions.scalars import to_places
 from pulseframe.operators import policy as po
 from pulseframe.operators import safety as sf
 from pulseframe.operators import state as st
@@ -112,7 +113,7 @@ def export_to_recommendation(spark, folder):
     measured = daily.select(
         *KEYS,
         *[F.round(c, 6).alias(c) for c in ("resting_hr", "hrv", "active_calories")],
-        F.round("sleep_duration_hours", 2).alias("sleep_duration_hours"),
+        to_places("sleep_duration_hours", 2).alias("sleep_duration_hours"),
         F.lit(None).cast("double").alias("readiness_score"),
         F.lit(None).cast("boolean").alias("overtraining_risk"),
         (F.col("active_calories") > 100).cast("int").alias("completion"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pulseframe.operators.policy import greedy, recommend
@@ -18,6 +20,10 @@ from pulseframe.streaming import jobs
 from pulseframe.streaming.messages import feedback_messages, plan_messages
 from pulseframe.streaming.runner import parquet_stream
 
+#: Events of a delivered file, of all parts together on average, and of the smallest part.
+EVENTS_PER_FILE = 1_000_000
+LEAST_PER_FILE = 1000
+
 
 def table_stream(spark, folder, name):
     return parquet_stream(spark, f"{folder}/{name}.parquet", source(spark, folder, name).schema)
@@ -50,31 +56,34 @@ JUDGED = {
 LEARNT = {"actions": ACTIONS, **JUDGED, **POSTERIOR, "scored": SCORED.replace("from fb", "from judged where reason is null")}
 
 
-def feedback_stream(spark, folder):
-    """Feedback lands as JSON messages in three parts, one file each, that a stream takes one by one."""
+def delivered_messages(spark, folder, part: int):
+    """The JSON messages that arrive with a part, some of them broken."""
+    delivered = with_reward(source(spark, folder, "delivered")).where(F.col("arrival") == part)
+    whole = F.col("value")
+    broken = (
+        F.when(F.col("fault") == "unreadable", F.expr("substr(value, 1, length(value) - 5)"))
+        .when(F.col("fault") == "wrong type", F.regexp_replace(whole, '"action_id":[0-9]+', '"action_id":"x"'))
+        .when(F.col("fault") == "unknown action", F.regexp_replace(whole, '"action_id":[0-9]+', '"action_id":99'))
+        .when(F.col("fault") == "no event type", F.regexp_replace(whole, '"event_type":"[a-z_]+",', ""))
+    )
+    messages = feedback_messages(delivered, "date", keep=["fault"])
+    return messages.select("topic", F.coalesce(broken, whole).alias("value"))
 
-    def publish(path: str) -> None:
-        delivered = with_reward(source(spark, folder, "delivered"))
-        for part in range(3):
-            messages = feedback_messages(delivered.where(F.col("arrival") == part), "date", keep=["fault"])
-            whole = F.col("value")
-            broken = (
-                F.when(F.col("fault") == "unreadable", F.expr("substr(value, 1, length(value) - 5)"))
-                .when(F.col("fault") == "wrong type", F.regexp_replace(whole, '"action_id":[0-9]+', '"action_id":"x"'))
-                .when(F.col("fault") == "unknown action", F.regexp_replace(whole, '"action_id":[0-9]+', '"action_id":99'))
-                .when(F.col("fault") == "no event type", F.regexp_replace(whole, '"event_type":"[a-z_]+",', ""))
-            )
-            messages = messages.select("topic", F.coalesce(broken, whole).alias("value"))
-            messages.coalesce(1).write.mode("append").parquet(path)
 
-    path = landed(spark, folder, "feedback-messages", publish)
-    return parquet_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+def learnt(spark, folder):
+    """Posterior and rejected messages; both queries over them share the runs of the stream.
 
+    Feedback lands in three parts, each written by as many tasks as it needs. The stream runs after
+    each, so a part is one micro-batch however many files it has, and an empty one is a batch, too.
+    """
 
-def learnt(spark, folder):
-    """Posterior and rejected messages; both queries over them share one run of the stream."""
-    out = landed(spark, folder, "learnt", lambda p: jobs.stream_feedback(feedback_stream(spark, folder), p))
-    return jobs.feedback_results(spark, out, ["topic", "value"])
+    def run(path: str) -> None:
+        topic = scratch_path(spark, "feedback-messages")
+        for part in range(3):
+            delivered_messages(spark, folder, part).write.mode("append").parquet(topic)
+            jobs.stream_feedback(parquet_stream(spark, topic, spark.read.parquet(topic).schema), path)
+
+    return jobs.feedback_results(spark, landed(spark, folder, "learnt", run), ["topic", "value"])
 
 
 @query("stream_feedback_messages", "select * from posterior", "delivered", "alpha beta total_reward", LEARNT)
@@ -153,13 +162,18 @@ def stream_daily_late(spark, folder):
     """Every fiftieth record arrives after all others; those of the last day still count. Rows of a
     micro-batch are held against the watermark of the batch before the last."""
 
+    events = source(spark, folder, "events")
+    parts = ["event_id % 2 = 1", "event_id % 2 = 0 AND event_id % 50 <> 0", "event_id % 50 = 0"]
+    sizes = events.agg(*[F.count_if(F.expr(part)) for part in parts]).first()
+    # As many files in each part, as a micro-batch takes so many; rows are dealt in turn, so none is empty.
+    files = max(1, min(math.ceil(sum(sizes) / EVENTS_PER_FILE), min(sizes) // LEAST_PER_FILE))
+
     def deliver(path: str) -> None:
-        events = source(spark, folder, "events")
-        for part in ("event_id % 2 = 1", "event_id % 2 = 0 AND event_id % 50 <> 0", "event_id % 50 = 0"):
-            events.where(part).coalesce(1).write.mode("append").parquet(path)
+        for part in parts:
+            events.where(part).repartition(files).write.mode("append").parquet(path)
 
     path = landed(spark, folder, "events-late", deliver)
-    events = parquet_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    events = parquet_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=files)
     records = spark.sql(INPUTS["records"], events=events)
     timed = records.drop("date").withColumns({"ts": F.col("ts").cast("timestamp"), "duration": F.col("value")})
     out = scratch_path(spark, "stream-daily-late")

@@ -98,22 +98,23 @@ def learn_batch(batch: DataFrame, batch_id: int, path: str, delay: str) -> None:
     spark = batch.sparkSession
     known = read_batches(spark, f"{path}-times", before=batch_id)
     newest = known.select(F.max("last")).first()[0] if known is not None else None
-    judged = judged_feedback(batch).withColumn("time", F.col("timestamp").try_cast("timestamp"))
-    first = F.row_number().over(Window.partitionBy("event_id").orderBy("time", F.xxhash64("value")))
+    placed = batch.withColumn("__place", F.monotonically_increasing_id())
+    judged = judged_feedback(placed).withColumns({"time": F.col("timestamp").try_cast("timestamp"), "__old": F.lit(False)})
     if newest is not None:
         earliest = F.lit(newest) - F.expr(f"INTERVAL {delay}")
         judged = judged.withColumn("reason", F.coalesce("reason", F.when(F.col("time") < earliest, F.lit(LATE))))
         learnt = _learnt(spark, path, batch_id, earliest)
         if learnt is not None:
-            seen = learnt.select(F.col("event_id").alias("seen_id")).distinct()
-            judged = judged.join(seen, F.col("event_id") == F.col("seen_id"), "left")
-            seen_before = F.when(F.col("seen_id").isNotNull(), F.lit(REPEATED))
-            judged = judged.withColumn("reason", F.coalesce("reason", seen_before)).drop("seen_id")
-    # Only good rows compete for an event; those without an id, as well as the rejected, stand alone.
-    alone = F.col("reason").isNotNull() | F.col("event_id").isNull()
-    single = judged.where(alone)
-    several = judged.where(~alone).withColumn("reason", F.when(first > 1, F.lit(REPEATED)))
-    single.unionByName(several).write.mode("overwrite").parquet(batch_path(f"{path}-rows", batch_id))
+            old = learnt.distinct().withColumn("__old", F.lit(True))
+            judged = judged.unionByName(old, allowMissingColumns=True)
+    # Only good rows compete for an event, which an earlier batch may have; those without an id, as
+    # well as the rejected, stand alone. All are judged in one shuffle, and none gather under a null.
+    competes = F.col("reason").isNull() & F.col("event_id").isNotNull()
+    rivals = Window.partitionBy(F.when(competes, F.col("event_id")), F.when(~competes, F.col("__place")))
+    place = F.row_number().over(rivals.orderBy(F.desc("__old"), "time", F.xxhash64("value")))
+    judged = judged.withColumn("reason", F.coalesce("reason", F.when(place > 1, F.lit(REPEATED))))
+    judged = judged.where(~F.col("__old")).drop("__place", "__old")
+    judged.write.mode("overwrite").parquet(batch_path(f"{path}-rows", batch_id))
 
     good = spark.read.parquet(batch_path(f"{path}-rows", batch_id)).where(F.col("reason").isNull())
     counts = _counted(with_reward(good))

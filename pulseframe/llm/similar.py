@@ -1,4 +1,4 @@
-"""Texts alike in four fifths of their word shingles: MinHash bands name pairs, whole texts decide.
+"""Texts alike in four fifths of their word shingles: SimHash and MinHash bands name pairs, whole texts decide.
 
 The shingles of a text are its distinct runs of five words; two texts link where the shared ones
 are at least 0.8 of all that either has (Jaccard). Each text gets the least hash of its shingles
@@ -6,7 +6,10 @@ under 144 permutations, in 24 bands of six. Texts that agree in a band lie in on
 similarity 0.8 a pair misses all buckets with probability (1 - 0.8^6)^24 = 0.0007, above that less
 often. Buckets with the same members, as most bands of a group give, count once.
 
-First every text of a bucket is compared with the bucket's smallest one, which joins a group of
+SimHash fingerprints of the shingles, linked at three or fewer differing bits (:mod:`pulseframe.llm.simhash`),
+name pairs first. Few pairs near 0.8 differ by so few bits, so the bands name the others.
+
+Every text of a bucket is compared with the bucket's smallest one, which joins a group of
 copies however large it is. Where the members of a bucket then lie in several components, all pairs
 of different components whose signatures agree well enough are compared, block by block if the
 bucket is large; only the edges of a forest leave a task. No pair of a bucket is left out for its
@@ -26,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.llm import simhash
 from pulseframe.llm.components import components, saved
 
 SHINGLE = 5
@@ -238,16 +242,31 @@ def _dealt(members: DataFrame, largest_bucket: int) -> DataFrame:
     return dealt.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "label")
 
 
+def fingerprinted(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """``a, b``: each node of ``node, text`` and the smallest that its fingerprint hangs together with,
+    by the SimHash of :mod:`pulseframe.llm.simhash` over the shingles used here. Rows may repeat."""
+    groups = simhash.simhash_dedup(spark, texts, "node", "text", SHINGLE)
+    return groups.where("node != component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def links(
-    spark: SparkSession, texts: DataFrame, largest_bucket: int = LARGEST_BUCKET, similar: float = SIMILARITY
+    spark: SparkSession,
+    texts: DataFrame,
+    largest_bucket: int = LARGEST_BUCKET,
+    similar: float = SIMILARITY,
+    near: DataFrame | None = None,
 ) -> DataFrame:
-    """``a, b``: links of the distinct ``texts`` of ``node, text`` that join all nodes that the buckets let link."""
+    """``a, b``: links of the distinct ``texts`` of ``node, text`` that join all nodes that the buckets let
+    link, and the pairs ``near``, if given, that are similar."""
     signed = saved(spark, with_signature(texts), "signatures")
     members = saved(spark, band_keys(signed).join(buckets(signed), "key"), "buckets")
     pairs = members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    named = members.select("node").distinct()
-    texts = saved(spark, texts.join(named, "node", "left_semi"), "compared")
-    first = saved(spark, linked(worth_comparing(pairs, signed), texts, similar), "links")
+    pairs, named = worth_comparing(pairs, signed), members.select("node")
+    if near is not None:
+        pairs = pairs.unionByName(near).distinct()
+        named = named.union(near.select("a")).union(near.select("b"))
+    texts = saved(spark, texts.join(named.distinct(), "node", "left_semi"), "compared")
+    first = saved(spark, linked(pairs, texts, similar), "links")
     roots = components(spark, first).select(F.col("a").alias("node"), "root")
     labelled = members.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
     labelled = labelled.join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node")
@@ -290,7 +309,8 @@ def one_of_each(
     marked = docs.withColumn("__node", F.xxhash64(text))
     prints = saved(spark, marked.select(F.col(id_col).alias("id"), F.col("__node").alias("node")), "nodes")
     texts = marked.select(F.col("__node").alias("node"), text.alias("text")).groupBy("node").agg(F.first("text").alias("text"))
-    roots = components(spark, links(spark, texts, largest_bucket)).withColumnRenamed("a", "node")
+    near = saved(spark, fingerprinted(spark, marked.select(F.col("__node").alias("node"), text.alias("text"))), "near")
+    roots = components(spark, links(spark, texts, largest_bucket, near=near)).withColumnRenamed("a", "node")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))
     stay = (
         prints.distinct()
